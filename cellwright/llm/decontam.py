@@ -39,6 +39,8 @@ BLOCK = 256
 COSINE = 0.12
 MASS = 0.3
 LCS = 0.6
+#: Low bits of a word's hash; most words are no term, and few pass this.
+SIEVE = U64((1 << 17) - 1)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -70,12 +72,15 @@ class Queries:
         for i, (_, w, _) in enumerate(passages):
             np.add.at(self.counts[i], np.searchsorted(self.terms, w), 1)
         self.weights = damped(self.counts)
+        self.sieve = np.zeros(int(SIEVE) + 1, bool)
+        self.sieve[self.terms & SIEVE] = True
 
     def lookup(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words that are terms, and which terms."""
-        at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
-        hit = np.flatnonzero(self.terms[at] == words)
-        return hit, at[hit]
+        some = np.flatnonzero(self.sieve[words & SIEVE])
+        at = np.minimum(np.searchsorted(self.terms, words[some]), len(self.terms) - 1)
+        hit = self.terms[at] == words[some]
+        return some[hit], at[hit]
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | None, size: int = BLOCK) -> Iterator[Queries]:

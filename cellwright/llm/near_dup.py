@@ -117,7 +117,7 @@ def links_of(bands: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right:
         order[shared] = np.arange(len(shared))
         column = order[column]
         owner = np.repeat(np.arange(len(left) if same else len(left) + len(right)), sizes[left if same else np.concatenate((left, right))])
-        total, step = np.zeros((len(left), len(right)), np.float32), 4096
+        total, step = np.zeros((len(left), len(right)), np.float32), 2048
         for at in range(0, len(shared), step):
             here = (column >= at) & (column < at + step)
             dense = np.zeros((owner[-1] + 1, min(step, len(shared) - at)), np.float32)

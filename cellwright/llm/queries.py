@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, near_dup, quality, tokens, toxicity
+from . import chat, decontam, licenses, line_dedup, mixing, near_dup, quality, tokens, toxicity, vectors
 from .shared import Scratch
 
 
@@ -61,13 +61,59 @@ def toxic_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     return toxicity.train(docs, labels, lambda key: crc_mod(key, 4) != 2)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    words = F.transform("places", lambda p: p["word"])
+    base = F.transform("places", lambda p: p["label"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    share = F.array_max(F.transform("blocks", lambda b: b["containment"]))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(words).alias("first_word"),
+        F.array_max(words).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, F.transform("blocks", lambda b: b["label"]))).alias("labels"),
+        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(share, F.lit(0.0))).alias("score"),
+    )
+
+
+def op4_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ok = "</s>[INST] ok [/INST]"
+    extra = spark.sql("select -7L as conv_id, 0L as turn, 'user' as role, :t as text union all select -7L, 1L, 'assistant', :t", {"t": ok})
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    out = chat.format_trees(chat.linked(rows, "conv_id", "turn", "role", "text"))
+    turns, loss = chat.parse(F.col("formatted")), chat.loss_text(F.col("segments"))
+    return out.select(
+        F.col("tree").alias("conv_id"),
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").cast("binary"), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op10_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_k(table(spark, sf_dir, "embeddings"), lambda key: key % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_nbsvm": op1_quality_nbsvm,
+    "op2_license_scan": op2_license_scan,
     "op3_token_wavelet": op3_token_wavelet,
+    "op4_chat_trees": op4_chat_trees,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_latent_decontamination": op6_latent_decontamination,
     "op7_poisson_mix": op7_poisson_mix,
+    "op8_line_dedup": op8_line_dedup,
     "op9_toxicity_subword": op9_toxicity_subword,
+    "op10_pivot_top_k": op10_pivot_top_k,
 }
 
 ORACLES: dict[str, str] = {}
@@ -90,3 +136,61 @@ select doc_id, text, lang, source, n_chars, copy::int as copy,
   ('0x' || substr(md5('1|' || coalesce(doc_id::varchar, '') || '|' || print || '|' || copy::varchar), 1, 13))::bigint::double / 4503599627370496e0 as shuffle_key
 from (select *, unnest(generate_series(1, times)) as copy from counted where times > 0)
 """
+
+ORACLES["op10_pivot_top_k"] = """
+with good as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id as vec_id, list_dot_product(q.v, c.v)::bigint as score
+  from good q join good c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
+select query_id, rank::int as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 20
+"""
+
+_CONTROLS = "".join(f", '{c}', '{c[0]}\\{c[1:]}')" for c in chat.CONTROLS)
+_ESCAPED = "replace(" * (len(chat.CONTROLS) + 1) + "{}, '\\', '\\\\')" + _CONTROLS
+
+# Header and end of a turn have 13 characters beside the role.
+ORACLES["op4_chat_trees"] = f"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+turns as (
+  select *, length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) + {len("<||>") + 1 + len(chat.END)} as chars from rows)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(chars)::bigint as formatted_chars
+from turns group by conv_id
+"""
+
+# Jaccard similarity 0.8 as 9 x shared >= 4 x (both sizes).
+ORACLES["op8_line_dedup"] = """
+with docs as (select distinct doc_id, text from documents),
+pieces as (select doc_id, text, string_split(text, chr(10)) as parts from docs),
+each as (select doc_id, text, unnest(parts) as content, generate_subscripts(parts, 1) as line from pieces),
+worded as (
+  select doc_id, text, line, regexp_extract_all(lower(content), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from each),
+keyed as (select doc_id, text, line, array_to_string(words, ' ') as key, words from worded where len(words) > 0),
+firsts as (select key, min(row(doc_id, text, line)) as first, any_value(words) as words from keyed group by key),
+sets as (
+  select key, first, list_distinct(case when len(words) < 5 then [key] else
+    list_transform(generate_series(1, len(words) - 4), lambda i: array_to_string(list_slice(words, i, i + 4), ' ')) end) as s from firsts),
+tokens as (select key, first, len(s) as n, unnest(s) as token from sets),
+shared as (
+  select a.key as key from tokens a join tokens b on a.token = b.token and a.first > b.first
+  group by a.key, b.key, a.n, b.n having 9 * count(*) >= 4 * (a.n + b.n)),
+gone as (
+  select k.doc_id, k.text, k.line from keyed k join firsts f on k.key = f.key
+  where k.key in (select key from shared) or row(k.doc_id, k.text, k.line) <> f.first),
+marked as (
+  select e.*, g.line is not null as removed from each e left join gone g
+    on e.doc_id = g.doc_id and e.text = g.text and e.line = g.line),
+rebuilt as (
+  select doc_id, text, coalesce(string_agg(content, chr(10) order by line) filter (where not removed), '') as kept,
+    count(*) as n_lines, count(*) filter (where removed) as n_removed from marked group by doc_id, text)
+select d.doc_id, r.kept as text, r.n_lines, r.n_removed from documents d join rebuilt r on d.doc_id = r.doc_id and d.text = r.text
+"""

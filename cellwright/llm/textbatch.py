@@ -11,19 +11,22 @@ over words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = U64(0xD6E8FEB86659FD93)
-_ASCII = np.zeros(128, bool)
-_ASCII[48:58] = _ASCII[97:123] = True
+_WORD = np.ones(0x110000, bool)
+_WORD[:128] = False
+_WORD[48:58] = _WORD[97:123] = True
 #: Characters handled at once; bounds the memory of a worker whatever the size of an Arrow batch.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 500_000
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -32,7 +35,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         out = np.full(size, U64(base), U64)
         out[0] = 1
         have = _powers[base] = np.multiply.accumulate(out)
@@ -53,15 +56,18 @@ class Batch:
     those arrays, with the total appended; ``of``: the text of each word.
     """
 
-    def __init__(self, texts: list[str | None]):
-        low = [(t or "").lower() for t in texts]
+    def __init__(self, texts: list[str | None], ascii_only: bool = False):
+        if ascii_only:  # lower-case A-Z and nothing else
+            low = [(t or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") for t in texts]
+        else:
+            low = [(t or "").lower() for t in texts]
         lengths = np.fromiter(map(len, low), np.int64, len(low))
         self.offset = np.concatenate(([0], np.cumsum(lengths + 1)))
         self.codes = np.frombuffer(("\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), "<u4") if low else np.empty(0, "<u4")
-        known = self.codes >= 128
-        small = ~known
-        known[small] = _ASCII[self.codes[small]]
-        edge = np.flatnonzero(np.diff(known.view(np.int8), prepend=np.int8(0)))
+        known = _WORD[self.codes]
+        edge = np.flatnonzero(known[1:] != known[:-1]) + 1
+        if len(known) and known[0]:
+            edge = np.concatenate(([0], edge))
         self.begin, self.end = edge[0::2], edge[1::2]
         self.first = np.searchsorted(self.begin, self.offset)
         self.n = len(low)
@@ -74,7 +80,10 @@ class Batch:
     def spans(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The hash of each span of code points; equal strings have equal hashes."""
         if self._sums is None:
-            self._sums = np.concatenate((np.zeros(1, U64), np.cumsum((self.codes.astype(U64) + U64(1)) * _power(_BASE, len(self.codes)))))
+            self._sums = np.zeros(len(self.codes) + 1, U64)
+            np.add(self.codes, U64(1), out=self._sums[1:], dtype=U64)
+            self._sums[1:] *= _power(_BASE, len(self.codes))
+            np.cumsum(self._sums[1:], out=self._sums[1:])
         return mix((self._sums[end] - self._sums[begin]) * _power(_INVERSE, len(self.codes) + 1)[begin])
 
     def words(self) -> np.ndarray:
@@ -101,13 +110,24 @@ def shingled(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix(total + left.astype(U64)), at
 
 
+def trim() -> None:
+    """Hand freed memory back: a worker lives on for the next stage, which may be another operator's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library keeps its own house
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of the batches, each with the whole texts of its rows and about ``most`` characters."""
+    """Slices of the batches, each with the whole texts of its rows and about ``most`` bytes."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
-        at = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or "") + 1
-            if size >= most or i + 1 == len(texts):
-                yield batch.slice(at, i + 1 - at), texts[at : i + 1]
-                at, size = i + 1, 0
+        texts = batch.column(batch.schema.get_field_index(column))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        at = done = 0
+        while at < len(ends):
+            stop = max(int(np.searchsorted(ends, done + most)), at) + 1
+            stop = min(stop, len(ends))
+            yield batch.slice(at, stop - at), texts.slice(at, stop - at).to_pylist()
+            at, done = stop, int(ends[stop - 1])
+    trim()
