@@ -58,7 +58,7 @@ class Library:
     """Templates and phrases as word hashes."""
 
     def __init__(self, templates: list[tuple[str, str]], phrases: dict[str, str], threshold: float):
-        batch = Batch([t for _, t in templates], ascii_only=True)
+        batch = Batch([t for _, t in templates], case="ascii")
         words = batch.words()
         self.sets = [np.unique(words[a:b]) for a, b in zip(batch.first[:-1], batch.first[1:], strict=True)]
         self.lengths = np.diff(batch.first).tolist()
@@ -66,7 +66,7 @@ class Library:
         share = Fraction(str(threshold))
         self.least = [math.ceil(share * len(s)) for s in self.sets]
         self.words = np.unique(words)
-        phrase = Batch(list(phrases), ascii_only=True)
+        phrase = Batch(list(phrases), case="ascii")
         hashes = phrase.words()
         self.phrases = [(hashes[a:b], label) for a, b, label in zip(phrase.first[:-1], phrase.first[1:], phrases.values(), strict=True)]
         self.sieve = np.zeros(1 << 16, bool)
@@ -85,7 +85,7 @@ def frequencies(texts: DataFrame, library: Library) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(library.words), np.int64)
         for _, some in pieces(batches):
-            total += np.bincount(library.lookup(Batch(some, ascii_only=True).words())[1], minlength=len(total))
+            total += np.bincount(library.lookup(Batch(some, case="ascii").words())[1], minlength=len(total))
         here = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(total[here])], ["word", "n"])
 
@@ -162,7 +162,7 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches):
-            batch = Batch(texts, ascii_only=True)
+            batch = Batch(texts, case="ascii")
             words = batch.words()
             places: list[list] = [[] for _ in texts]
             blocks: list[list] = [[] for _ in texts]

@@ -56,22 +56,24 @@ class Batch:
     those arrays, with the total appended; ``of``: the text of each word.
     """
 
-    def __init__(self, texts: list[str | None], ascii_only: bool = False):
-        if ascii_only:  # lower-case A-Z and nothing else
+    def __init__(self, texts: list[str | None], case: str = "lower"):
+        """case: "lower", "ascii" to lower-case A-Z and nothing else, or "keep"."""
+        if case == "ascii":
             low = [(t or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") for t in texts]
         else:
-            low = [(t or "").lower() for t in texts]
+            low = [(t or "").lower() if case == "lower" else t or "" for t in texts]
         lengths = np.fromiter(map(len, low), np.int64, len(low))
         self.offset = np.concatenate(([0], np.cumsum(lengths + 1)))
         self.codes = np.frombuffer(("\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), "<u4") if low else np.empty(0, "<u4")
-        known = _WORD[self.codes]
-        edge = np.flatnonzero(known[1:] != known[:-1]) + 1
-        if len(known) and known[0]:
-            edge = np.concatenate(([0], edge))
-        self.begin, self.end = edge[0::2], edge[1::2]
-        self.first = np.searchsorted(self.begin, self.offset)
         self.n = len(low)
         self._sums: np.ndarray | None = None
+        if case != "keep":
+            known = _WORD[self.codes]
+            edge = np.flatnonzero(known[1:] != known[:-1]) + 1
+            if len(known) and known[0]:
+                edge = np.concatenate(([0], edge))
+            self.begin, self.end = edge[0::2], edge[1::2]
+            self.first = np.searchsorted(self.begin, self.offset)
 
     @property
     def of(self) -> np.ndarray:
