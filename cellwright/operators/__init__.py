@@ -1 +1 @@
-
+"""Operators over tables; canonical frames are long: (row id, column, ...)."""
