@@ -1,4 +1,4 @@
-"""Line deduplication by an exact set-similarity join, with DataFrame operations only.
+"""Line deduplication by an exact set-similarity join.
 
 A line's tokens are its five-word shingles (words as in ``textbatch``); a line of one to four words
 has one, all its words; a line without words has none and always stays. Two lines match if the
@@ -17,49 +17,130 @@ if that one goes too. Earlier: smaller id (nulls first), then the text's hash, t
    ``ROUNDS`` rounds meets all earlier lines of its tokens. So no match is lost, and a group of
    copies doesn't become pairs.
 
+Tokens are hashed by numpy over Arrow batches: as expressions over arrays the same work took four
+times the CPU time allowed (README). All joins, counts and filters are DataFrame operations.
+
 Rows that agree in id and text are one row repeated and get the same result each. Null texts have no
 lines and stay null. Other columns are kept as they are.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import Scratch
+from .textbatch import U64, Batch, pieces, shingled
 
-BUCKETS = 15
+BUCKETS = 16
 ROUNDS = 2
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def words_of(line: Column) -> Column:
-    return F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
+class Lines:
+    """The lines of a batch of texts: where each one's words start, its text and its number there."""
 
+    def __init__(self, texts: list[str | None]):
+        self.batch = Batch(texts)
+        self.words = self.batch.words()
+        start = np.concatenate(([0], np.flatnonzero(self.batch.codes == 10) + 1))
+        self.first = np.searchsorted(self.batch.begin, start)
+        self.text = np.searchsorted(self.batch.offset, start[:-1], "right") - 1
+        self.number = np.arange(len(self.text)) - np.searchsorted(start[:-1], self.batch.offset[:-1])[self.text]
 
-def tokens_of(words: Column, k: int) -> Column:
-    """Distinct hashes of the runs of k words; of all words, if there are fewer."""
-    run = lambda h, i: F.xxhash64(*[F.get(h, i + j) for j in range(k)])
-    # the words' hashes bound once, as the one element of an array, not made anew for every run
-    hashed = F.array(F.transform(words, lambda w: F.xxhash64(w)))
-    runs = F.get(F.transform(hashed, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: run(h, i))), F.lit(0))
-    few = F.array(F.xxhash64(F.array_join(words, " ")))
-    return F.array_distinct(F.when(F.size(words) >= k, runs).when(F.size(words) > 0, few).otherwise(F.array().cast("array<bigint>")))
+    def keys(self, which: np.ndarray) -> list[bytes]:
+        return [hashlib.blake2b(self.words[self.first[i] : self.first[i + 1]].tobytes(), digest_size=16).digest() for i in which.tolist()]
 
 
-def lines_of(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, print, line, words, key): every line that has words; ``key`` is a digest of the words."""
-    each = documents.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("print"), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "content"))
-    worded = each.select("doc", "print", "line", words_of(F.col("content")).alias("words")).where(F.size("words") > 0)
-    return worded.withColumn("key", F.md5(F.array_join("words", " ")))
+def ranked(lines: Lines, k: int, magnitude: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens of every line as order numbers, ascending, and where each line's start (total appended).
 
+    A token's number is the magnitude of its bucket, then 58 bits of its hash.
+    """
+    tokens, at = shingled(lines.words, lines.first, k)
+    number = magnitude[(tokens & U64((1 << buckets) - 1)).astype(np.int64)] << U64(58) | tokens >> U64(6)
+    line = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((number, line))
+    number, line = number[order], line[order]
+    if len(number):
+        new = np.concatenate(([True], (number[1:] != number[:-1]) | (line[1:] != line[:-1])))
+        number, line = number[new], line[new]
+    return number, np.searchsorted(line, np.arange(len(at)))
+
+
+def magnitudes(texts: DataFrame, k: int, buckets: int) -> np.ndarray:
+    """Binary digits of each bucket's count of tokens, over all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << buckets, np.int64)
+        for _, some in pieces(batches):
+            lines = Lines(some)
+            tokens, _ = shingled(lines.words, lines.first, k)
+            total += np.bincount((tokens & U64((1 << buckets) - 1)).astype(np.int64), minlength=len(total))
+        here = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(total[here])], ["bucket", "n"])
+
+    counts = np.zeros(1 << buckets, np.int64)
+    for row in texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most 2**buckets rows
+        counts[row["bucket"]] = row["n"]
+    return np.array([int(n).bit_length() for n in counts], U64)
+
+
+def lists(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    at = np.concatenate(([0], np.cumsum(size)))
+    index = np.arange(at[-1]) - np.repeat(at[:-1] - begin, size)
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values[index].view(np.int64)))
+
+
+def described(documents: DataFrame, id_col: str, text_col: str, k: int, threshold: tuple[int, int], magnitude: np.ndarray, buckets: int) -> DataFrame:
+    """(doc, print, line, key, size, prefix) of every line that has words."""
+    up, down = threshold
 
-def order_of(lines: DataFrame, k: int, buckets: int) -> Column:
-    """An array: the magnitude (binary digits) of each bucket's count of tokens."""
-    bucket = F.pmod("token", F.lit(1 << buckets)).cast("int")
-    counts = {r["bucket"]: r["n"] for r in lines.select(F.explode(tokens_of(F.col("words"), k)).alias("token")).select(bucket.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).collect()}  # at most 2**buckets rows
-    text = ",".join(str(int(counts.get(b, 0)).bit_length()) for b in range(1 << buckets))
-    return F.split(F.lit(text), ",").cast("array<bigint>")  # folds into one literal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, some in pieces(batches):
+            lines = Lines(some)
+            number, at = ranked(lines, k, magnitude, buckets)
+            size = np.diff(at)
+            has = np.flatnonzero(size)
+            prefix = size[has] - -(-size[has] * up // down) + 1
+            text = pa.array(lines.text[has])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(text), part.column(1).take(text), pa.array(lines.number[has].astype(np.int32)), pa.array(lines.keys(has), pa.binary()), pa.array(size[has].astype(np.int32)), lists(number, at[:-1][has], prefix)],
+                ["doc", "print", "line", "key", "size", "prefix"],
+            )
+
+    source = documents.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, f"doc {dict(documents.dtypes)[id_col]}, print long, line int, key binary, size int, prefix array<long>")
+
+
+def token_sets(texts: DataFrame, keys: DataFrame, k: int, magnitude: np.ndarray, buckets: int) -> DataFrame:
+    """(key, tokens) of the keys' lines. A bit map of the keys, of bounded size, keeps other lines from being sent."""
+    n = keys.count()
+    bits = min(max(16, (16 * n).bit_length()), 26)
+    place = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << bits) - 1)
+    words = keys.select(place.alias("p")).select(F.shiftright("p", 5).alias("w"), F.expr("shiftleft(1L, cast(p & 31 as int))").alias("one")).groupBy("w").agg(F.bit_or("one").alias("b"))
+    table = np.zeros(1 << bits - 5, np.uint32)
+    for row in words.collect():  # at most 2**21 rows
+        table[row["w"]] = row["b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, some in pieces(batches):
+            lines = Lines(some)
+            has = np.flatnonzero(np.diff(lines.first))
+            mine = lines.keys(has)
+            at = np.array([int.from_bytes(m[:4], "big") for m in mine], np.int64) & (1 << bits) - 1
+            hit = np.flatnonzero(table[at >> 5] >> (at & 31).astype(np.uint32) & 1)
+            once = list({mine[i]: i for i in hit.tolist()}.values())
+            number, first = ranked(lines, k, magnitude, buckets)
+            which = has[once] if once else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([mine[i] for i in once], pa.binary()), lists(number, first[:-1][which], np.diff(first)[which])], ["key", "tokens"])
+
+    return texts.mapInArrow(run, "key binary, tokens array<long>").join(keys, "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -79,21 +160,16 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     up, down = threshold
     spark = documents.sparkSession
     scratch = Scratch(spark, "line-dedup")
-    lines = lines_of(documents, id_col, text_col)
-    magnitude = order_of(lines, shingle, buckets)
-    # a token's order: its bucket's magnitude, then 57 bits of its hash; that number stands for the token
-    rank = lambda x: F.shiftleft(F.get(magnitude, F.pmod(x, F.lit(1 << buckets)).cast("int")), 57) + F.shiftrightunsigned(x, 7)
+    texts = documents.select(F.col(text_col).alias("text"))
+    magnitude = magnitudes(texts, shingle, buckets)
+    lines = scratch.keep(described(documents, id_col, text_col, shingle, threshold, magnitude, buckets))
     place = F.struct(F.col("doc").isNotNull().alias("known"), "doc", "print", "line")
-    folded = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("words").alias("words"))
-    tokens = folded.select("key", "first", "n", F.array_sort(F.transform(tokens_of(F.col("words"), shingle), rank)).alias("tokens"))
-    size = F.size("tokens")
-    kept = F.slice("tokens", F.lit(1), (size - F.ceil(size * F.lit(up) / F.lit(down)) + 1).cast("int"))
-    folded = scratch.keep(tokens.select("key", "first", "n", size.alias("size"), "tokens", kept.alias("prefix")))
+    folded = scratch.keep(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix")))
 
-    rows = folded.select("key", "first", "size", F.posexplode("prefix").alias("pos", "token"))
-    shared = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    rows = scratch.keep(rows.join(shared, "token"))
-    sets = scratch.keep(folded.select("key", "tokens").join(rows.select("key").distinct(), "key", "left_semi"))
+    each = folded.select("key", "size", F.posexplode("prefix").alias("pos", "token"))
+    shared = each.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c")
+    rows = scratch.keep(shared.join(folded.select("key", "first"), "key"))
+    sets = scratch.keep(token_sets(texts, rows.select("key").distinct(), shingle, magnitude, buckets))
 
     def meets(a: str, b: str) -> Column:
         least = F.ceil((F.col(f"{a}size") + F.col(f"{b}size")) * F.lit(up) / F.lit(up + down))
@@ -125,7 +201,7 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gone = folded.select("key", "first", "n").join(done.withColumn("settled", F.lit(True)), "key", "left").where("n > 1 or settled").select("key", "first", F.coalesce("settled", F.lit(False)).alias("settled"))
     out = lines.select("doc", "print", "line", "key", place.alias("place")).join(gone, "key").where(F.col("settled") | (F.col("place") != F.col("first")))
     out = scratch.keep(out.groupBy("doc", "print").agg(F.array_sort(F.collect_set("line")).alias("gone")))
-    scratch.drop(rows, sets, folded, *settled)
+    scratch.drop(rows, sets, folded, lines, *settled)
 
     marked = documents.withColumn("_print", F.xxhash64(text_col))
     joined = marked.join(out.withColumnsRenamed({"doc": "_doc", "print": "_p", "gone": "_gone"}), F.col("_print").eqNullSafe(F.col("_p")) & F.col(id_col).eqNullSafe(F.col("_doc")), "left")
