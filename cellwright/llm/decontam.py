@@ -163,8 +163,8 @@ def latent(texts: DataFrame, queries: Queries, idf: np.ndarray, seed: int = 5, e
                 continue
             value = (damped(count) * idf[term]).astype(np.float32)
             trace += float(value @ value)
-            for at in range(0, len(block), 50_000):  # whole blocks, some at a time
-                low, high = np.searchsorted(block, (block[at], block[min(at + 50_000, len(block) - 1)] + (at + 50_000 >= len(block))))
+            for at in range(0, len(block), 4_000):  # whole blocks, as many as fit a cache
+                low, high = np.searchsorted(block, (block[at], block[min(at + 4_000, len(block) - 1)] + (at + 4_000 >= len(block))))
                 if at:
                     low = last
                 last = high
