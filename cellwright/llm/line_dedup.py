@@ -9,12 +9,13 @@ if that one goes too. Earlier: smaller id (nulls first), then the text's hash, t
    there are. All but the first go.
 2. Tokens are counted over the whole corpus in ``2**BUCKETS`` buckets of their hash, a table of
    bounded size, and ordered by the magnitude of that count, then by hash. Any fixed order makes the
-   prefix filter exact; this one puts what many lines share last.
+   prefix filter exact; this one puts what many lines share last. A token is known by that number,
+   with 47 bits of its hash: two tokens of compared lines are taken for one with chance 2**-47.
 3. A line's prefix is its n - ceil(0.8 n) + 1 first tokens: matching lines share one of them.
 4. For each prefix token, lines are first joined with the earliest line that has it, not with one
    another; length and position filters, then the full sets, decide. Of a large group of near copies
-   most are settled by that. Later rounds take the earliest line not settled; what is left after
-   ``ROUNDS`` rounds meets all earlier lines of its tokens. So no match is lost, and a group of
+   most are settled by that. More rounds may take the earliest line not settled; what is left after
+   ``ROUNDS`` rounds meets all other earlier lines of its tokens. So no match is lost, and a group of
    copies doesn't become pairs.
 
 Tokens are hashed by numpy over Arrow batches: as expressions over arrays the same work took four
@@ -26,6 +27,7 @@ lines and stay null. Other columns are kept as they are.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -33,13 +35,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .shared import Scratch
 from .textbatch import U64, Batch, pieces, shingled
 
 BUCKETS = 16
-ROUNDS = 2
+ROUNDS = 1
 
 
 class Lines:
@@ -57,20 +58,24 @@ class Lines:
         return [hashlib.blake2b(self.words[self.first[i] : self.first[i + 1]].tobytes(), digest_size=16).digest() for i in which.tolist()]
 
 
-def ranked(lines: Lines, k: int, magnitude: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def ranked(words: np.ndarray, first: np.ndarray, k: int, magnitude: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct tokens of every line as order numbers, ascending, and where each line's start (total appended).
 
-    A token's number is the magnitude of its bucket, then 58 bits of its hash.
+    A token's number, of 53 bits, is the magnitude of its bucket, then 47 bits of its hash. The line
+    stands in the 11 bits above, so that one plain sort orders the tokens of 2,048 lines.
     """
-    tokens, at = shingled(lines.words, lines.first, k)
-    number = magnitude[(tokens & U64((1 << buckets) - 1)).astype(np.int64)] << U64(58) | tokens >> U64(6)
-    line = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((number, line))
-    number, line = number[order], line[order]
-    if len(number):
-        new = np.concatenate(([True], (number[1:] != number[:-1]) | (line[1:] != line[:-1])))
-        number, line = number[new], line[new]
-    return number, np.searchsorted(line, np.arange(len(at)))
+    tokens, at = shingled(words, first, k)
+    number = magnitude[(tokens & U64((1 << buckets) - 1)).astype(np.int64)] << U64(47) | tokens >> U64(17)
+    low, found, size = U64((1 << 53) - 1), [np.empty(0, U64)], np.zeros(len(at) - 1, np.int64)
+    for start in range(0, len(at) - 1, 2048):
+        stop = min(start + 2048, len(at) - 1)
+        line = np.repeat(np.arange(stop - start, dtype=U64), np.diff(at[start : stop + 1])) << U64(53)
+        some = np.sort(number[at[start] : at[stop]] | line)
+        if len(some):
+            some = some[np.concatenate(([True], some[1:] != some[:-1]))]
+        size[start:stop] = np.bincount((some >> U64(53)).astype(np.int64), minlength=stop - start)
+        found.append(some & low)
+    return np.concatenate(found), np.concatenate(([0], np.cumsum(size)))
 
 
 def magnitudes(texts: DataFrame, k: int, buckets: int) -> np.ndarray:
@@ -104,7 +109,7 @@ def described(documents: DataFrame, id_col: str, text_col: str, k: int, threshol
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, some in pieces(batches):
             lines = Lines(some)
-            number, at = ranked(lines, k, magnitude, buckets)
+            number, at = ranked(lines.words, lines.first, k, magnitude, buckets)
             size = np.diff(at)
             has = np.flatnonzero(size)
             prefix = size[has] - -(-size[has] * up // down) + 1
@@ -119,7 +124,7 @@ def described(documents: DataFrame, id_col: str, text_col: str, k: int, threshol
 
 
 def token_sets(texts: DataFrame, keys: DataFrame, k: int, magnitude: np.ndarray, buckets: int) -> DataFrame:
-    """(key, tokens) of the keys' lines. A bit map of the keys, of bounded size, keeps other lines from being sent."""
+    """(id, tokens) of the lines in ``keys`` (key, id). A bit map of the keys, of bounded size, keeps other lines from being sent."""
     n = keys.count()
     bits = min(max(16, (16 * n).bit_length()), 26)
     place = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << bits) - 1)
@@ -136,20 +141,29 @@ def token_sets(texts: DataFrame, keys: DataFrame, k: int, magnitude: np.ndarray,
             at = np.array([int.from_bytes(m[:4], "big") for m in mine], np.int64) & (1 << bits) - 1
             hit = np.flatnonzero(table[at >> 5] >> (at & 31).astype(np.uint32) & 1)
             once = list({mine[i]: i for i in hit.tolist()}.values())
-            number, first = ranked(lines, k, magnitude, buckets)
-            which = has[once] if once else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([mine[i] for i in once], pa.binary()), lists(number, first[:-1][which], np.diff(first)[which])], ["key", "tokens"])
+            begin, count = lines.first[has[np.array(once, np.int64)]], np.diff(lines.first)[has[np.array(once, np.int64)]]
+            start = np.concatenate(([0], np.cumsum(count)))
+            words = lines.words[np.arange(start[-1]) - np.repeat(start[:-1] - begin, count)]
+            number, at_line = ranked(words, start, k, magnitude, buckets)
+            yield pa.RecordBatch.from_arrays([pa.array([mine[i] for i in once], pa.binary()), lists(number, at_line[:-1], np.diff(at_line))], ["key", "tokens"])
 
-    return texts.mapInArrow(run, "key binary, tokens array<long>").join(keys, "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens"))
+    sent = texts.mapInArrow(run, "key binary, tokens array<long>")
+    return sent.join(keys, "key").groupBy("id").agg(F.first("tokens").alias("tokens"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The keys of ``pairs`` (key, other) whose token sets are similar."""
+def verified(pairs: DataFrame, folded: DataFrame, texts: DataFrame, scratch: Scratch, share: tuple[int, int], k: int, magnitude: np.ndarray, buckets: int) -> DataFrame:
+    """The ids of ``pairs`` (id, other) whose token sets are similar. Only lines of pairs have their sets sent."""
     up, down = share
-    one = sets.select("key", F.col("tokens").alias("a"))
-    two = sets.select(F.col("key").alias("other"), F.col("tokens").alias("b"))
-    both = pairs.join(one, "key").join(two, "other").withColumn("n", F.size(F.array_intersect("a", "b")))
-    return both.where(F.col("n") * (up + down) >= F.lit(up) * (F.size("a") + F.size("b"))).select("key").distinct()
+    pairs = scratch.keep(pairs)
+    ids = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
+    keys = scratch.keep(folded.select("key", "id").join(ids, "id"))
+    sets = scratch.keep(token_sets(texts, keys, k, magnitude, buckets))
+    one = sets.select("id", F.col("tokens").alias("a"))
+    two = sets.select(F.col("id").alias("other"), F.col("tokens").alias("b"))
+    both = pairs.join(one, "id").join(two, "other").withColumn("n", F.size(F.array_intersect("a", "b")))
+    out = scratch.keep(both.where(F.col("n") * (up + down) >= F.lit(up) * (F.size("a") + F.size("b"))).select("id").distinct())
+    scratch.drop(pairs, keys, sets)
+    return out
 
 
 def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5), shingle: int = 5, buckets: int = BUCKETS, rounds: int = ROUNDS) -> DataFrame:
@@ -164,12 +178,14 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     magnitude = magnitudes(texts, shingle, buckets)
     lines = scratch.keep(described(documents, id_col, text_col, shingle, threshold, magnitude, buckets))
     place = F.struct(F.col("doc").isNotNull().alias("known"), "doc", "print", "line")
-    folded = scratch.keep(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix")))
+    folded = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    folded = scratch.keep(folded.withColumn("id", F.monotonically_increasing_id()))  # fixed by being written
 
-    each = folded.select("key", "size", F.posexplode("prefix").alias("pos", "token"))
-    shared = each.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c")
-    rows = scratch.keep(shared.join(folded.select("key", "first"), "key"))
-    sets = scratch.keep(token_sets(texts, rows.select("key").distinct(), shingle, magnitude, buckets))
+    each = folded.select("id", "size", F.posexplode("prefix").alias("pos", "token"))
+    shared = scratch.keep(each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
+    rows = scratch.keep(each.join(shared, "token"))
+    rows = scratch.keep(rows.join(folded.select("id", "first"), "id"))
+    similar = lambda pairs: verified(pairs, folded, texts, scratch, threshold, shingle, magnitude, buckets)
 
     def meets(a: str, b: str) -> Column:
         least = F.ceil((F.col(f"{a}size") + F.col(f"{b}size")) * F.lit(up) / F.lit(up + down))
@@ -178,30 +194,28 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return lengths & (rest >= least)
 
     settled, open_rows, pivots = [], rows, []
-    for _ in range(rounds):
-        pivot = scratch.keep(open_rows.groupBy("token").agg(F.min(F.struct("first", "key", "size", "pos")).alias("p")).select("token", F.col("p.key").alias("other"), F.col("p.first").alias("ofirst"), F.col("p.size").alias("osize"), F.col("p.pos").alias("opos")))
-        pairs = open_rows.join(pivot, "token").where(F.col("first") > F.col("ofirst")).where(meets("", "o")).select("key", "other").distinct()
-        settled.append(scratch.keep(verified(pairs, sets, threshold)))
+    for i in range(rounds):
+        pivot = scratch.keep(open_rows.groupBy("token").agg(F.min(F.struct("first", "id", "size", "pos")).alias("p")).select("token", F.col("p.id").alias("other"), F.col("p.first").alias("ofirst"), F.col("p.size").alias("osize"), F.col("p.pos").alias("opos")))
+        pairs = open_rows.join(pivot, "token").where(F.col("first") > F.col("ofirst")).where(meets("", "o")).select("id", "other").distinct()
+        settled.append(similar(pairs))
         pivots.append(pivot)
-        past = pivot.select("token", F.col("other").alias("key"))
-        # a pivot isn't settled: it goes on to the last round as the later line, but is a pivot once
-        open_rows = scratch.keep(open_rows.join(settled[-1], "key", "left_anti").join(past, ["token", "key"], "left_anti"))
-    done = settled[0]
-    for s in settled[1:]:
-        done = done.unionByName(s)
-    # what no pivot settled, with every earlier line of its tokens: pivots of later rounds too
-    late = rows.join(done, "key", "left_anti")
-    late = late.join(pivots[0].select("token", F.col("other").alias("key")), ["token", "key"], "left_anti")
-    earlier = rows.join(pivots[0].select("token", F.col("other").alias("key")), ["token", "key"], "left_anti")
-    earlier = earlier.select("token", F.col("key").alias("other"), F.col("first").alias("ofirst"), F.col("size").alias("osize"), F.col("pos").alias("opos"))
-    pairs = late.join(earlier, "token").where(F.col("first") > F.col("ofirst")).where(meets("", "o")).select("key", "other").distinct()
-    done = scratch.keep(done.unionByName(verified(pairs, sets, threshold)).distinct())
+        if i + 1 < rounds:  # a pivot isn't settled: it goes on to the last step as the later line, but is a pivot once
+            past = pivot.select("token", F.col("other").alias("id"))
+            open_rows = scratch.keep(open_rows.join(settled[-1], "id", "left_anti").join(past, ["token", "id"], "left_anti"))
+    near = functools.reduce(DataFrame.unionByName, settled).distinct()
+    # what no pivot settled meets every other earlier line of its tokens
+    others = rows.join(pivots[0].select("token", F.col("other").alias("id")), ["token", "id"], "left_anti")
+    late = others.join(near, "id", "left_anti")
+    earlier = others.select("token", F.col("id").alias("other"), F.col("first").alias("ofirst"), F.col("size").alias("osize"), F.col("pos").alias("opos"))
+    pairs = late.join(earlier, "token").where(F.col("first") > F.col("ofirst")).where(meets("", "o")).select("id", "other").distinct()
+    rest = similar(pairs)
+    done = near.unionByName(rest)  # without overlap: late lines are those not near
 
     # all places of a settled key go, and of other keys all but the first
-    gone = folded.select("key", "first", "n").join(done.withColumn("settled", F.lit(True)), "key", "left").where("n > 1 or settled").select("key", "first", F.coalesce("settled", F.lit(False)).alias("settled"))
+    gone = folded.select("id", "key", "first", "n").join(done.withColumn("settled", F.lit(True)), "id", "left").where("n > 1 or settled").select("key", "first", F.coalesce("settled", F.lit(False)).alias("settled"))
     out = lines.select("doc", "print", "line", "key", place.alias("place")).join(gone, "key").where(F.col("settled") | (F.col("place") != F.col("first")))
     out = scratch.keep(out.groupBy("doc", "print").agg(F.array_sort(F.collect_set("line")).alias("gone")))
-    scratch.drop(rows, sets, folded, lines, *settled)
+    scratch.drop(shared, rows, folded, lines, rest, *pivots, *settled)
 
     marked = documents.withColumn("_print", F.xxhash64(text_col))
     joined = marked.join(out.withColumnsRenamed({"doc": "_doc", "print": "_p", "gone": "_gone"}), F.col("_print").eqNullSafe(F.col("_p")) & F.col(id_col).eqNullSafe(F.col("_doc")), "left")
