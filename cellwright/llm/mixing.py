@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .shared import partitions
 
 BROADCAST_SOURCES = 10_000
+#: Rates above it are inverted from a term near the mean.
+LARGE = 500.0
 
 
 def uniform(seed: int, *columns: Column) -> Column:
@@ -30,12 +32,22 @@ def uniform(seed: int, *columns: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson(u: Column, rate: Column, most_rate: float) -> Column:
-    """The smallest k with P(X <= k) > u. Terms run until none can matter for rates up to ``most_rate``."""
-    last = math.ceil(most_rate + 12 * math.sqrt(most_rate) + 30)
+def poisson(u: Column, rate: Column) -> Column:
+    """The smallest k with P(X <= k) > u.
+
+    Terms run until none can matter for the row's own rate. From ``LARGE`` on, where exp(-rate) nears
+    the end of the doubles, they start 12 deviations below the mean: at the logarithm of that term, by
+    Stirling's series, which has all digits there; what lies below is under 1e-30.
+    """
+    spread = F.lit(12.0) * F.sqrt(rate) + 30
+    low = F.when(rate > LARGE, F.floor(rate - spread)).otherwise(0).cast("int")
+    gap = rate - low
+    series = 1 / (12.0 * low) - 1 / (360.0 * F.pow(low, F.lit(3))) + 1 / (1260.0 * F.pow(low, F.lit(5)))
+    large = low * F.log1p(gap / low) - gap - 0.5 * F.log(2 * math.pi * low) - series
+    begin = F.exp(F.when(rate > LARGE, large).otherwise(-rate))
     step = lambda s, k: F.struct((s["p"] * rate / k).alias("p"), (s["c"] + s["p"] * rate / k).alias("c"), (s["k"] + F.when(s["c"] <= u, 1).otherwise(0)).alias("k"))
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k"))
-    return F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(last)), lambda k: k.cast("double")), start, step, lambda s: s["k"])
+    start = F.struct(begin.alias("p"), begin.alias("c"), low.alias("k"))
+    return F.aggregate(F.transform(F.sequence(low + 1, F.ceil(rate + spread).cast("int")), lambda k: k.cast("double")), start, step, lambda s: s["k"])
 
 
 def rates(documents: DataFrame, weights: dict[str | None, float] | None, total: float | None, other: float, source_col: str) -> DataFrame:
@@ -53,13 +65,12 @@ def rates(documents: DataFrame, weights: dict[str | None, float] | None, total:
 def mix(documents: DataFrame, weights: dict[str | None, float] | None = None, total: float | None = None, other: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``documents``, each as often as drawn, plus ``copy`` (from 1) and ``shuffle_key``, in shuffled order."""
     rate = rates(documents, weights, total, other, source_col)
-    shape = rate.agg(F.count("*").alias("n"), F.max("rate").alias("most")).first()
-    n, most = shape["n"], float(shape["most"] or 0)
+    n = rate.count()
     if not {"copy", "shuffle_key"}.isdisjoint(documents.columns):
         raise ValueError("the input has a column copy or shuffle_key")
     rate = rate.select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"))
     joined = documents.join(F.broadcast(rate) if n <= BROADCAST_SOURCES else rate, F.col(source_col).eqNullSafe(F.col("_mix_source")))
     print_ = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    drawn = joined.withColumn("_mix_n", poisson(uniform(seed, F.col(id_col), print_), F.col("_mix_rate"), most)).where("_mix_n > 0")
+    drawn = joined.withColumn("_mix_n", poisson(uniform(seed, F.col(id_col), print_), F.col("_mix_rate"))).where("_mix_n > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).withColumn("shuffle_key", uniform(seed + 1, F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit(""))), F.col("copy")))
     return copies.drop("_mix_source", "_mix_rate", "_mix_n").repartition(partitions(documents.sparkSession), F.xxhash64("shuffle_key")).sortWithinPartitions("shuffle_key", id_col, "copy")

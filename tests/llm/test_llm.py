@@ -1,5 +1,6 @@
 """Corpus operators against brute force, exact round trips, held-out labels and odd inputs."""
 
+import decimal
 import hashlib
 import re
 import zlib
@@ -271,6 +272,35 @@ def test_mix_hits_its_weights(spark):
     assert mixing.mix(docs(spark, ODD).where("false")).count() == 0
 
 
+def poisson_count(rate, u):
+    """By sums of 60 digits."""
+    with decimal.localcontext() as c:
+        c.prec, c.Emin = 60, decimal.MIN_EMIN
+        rate, k = decimal.Decimal(rate), 0
+        p = total = (-rate).exp()
+        while total <= decimal.Decimal(u):
+            k += 1
+            p = p * rate / k
+            total += p
+        return k
+
+
+def test_poisson_counts_of_large_rates(spark):
+    rates = {"a": (1_000.0, 6), "b": (100_000.0, 2), "c": (800.0, 6), "d": (0.5, 40), "e": (499.0, 3), "f": (501.0, 3)}
+    rows = [(f"{s}{i}", s) for s, (_, n) in rates.items() for i in range(n)]
+    total = sum(r * n for r, n in rates.values())
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(rows)], "doc_id long, text string, source string")
+    out = mixing.mix(df, {s: r * n / total for s, (r, n) in rates.items()}, total)
+    got = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    for i, (t, s) in enumerate(rows):
+        digest = hashlib.md5(f"0|{i}|{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()
+        assert got.get(i, 0) == poisson_count(rates[s][0], int(digest[:13], 16) / 2**52), (s, i)
+    pairs = spark.createDataFrame([(r, u) for r in (0.0, 0.5, 499.0, 501.0, 744.0, 800.0, 1_000.0, 100_000.0) for u in (0.0, 1e-6, 0.1, 0.5, 0.9, 1 - 1e-6)], "rate double, u double")
+    for r in pairs.withColumn("k", mixing.poisson(F.col("u"), F.col("rate"))).collect():
+        if r["u"] or r["rate"] <= mixing.LARGE:  # at 0 the first term stands for all below it
+            assert r["k"] == poisson_count(r["rate"], r["u"]), r
+
+
 # --- line dedup ---
 
 
