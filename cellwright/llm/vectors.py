@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,28 +111,31 @@ def top(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, floor: np.
 
 
 def packed(rows: DataFrame, names: list[str], most: int) -> DataFrame:
-    """Runs of sorted rows (vec_id, v and equal ``names``) as one row of at most ``most``: names, n, ids, vectors."""
+    """Runs of sorted rows (vec_id, v and equal ``names``) as one row of at most ``most``: names, n, ids, vectors, number.
+
+    The number is the partition and the place in it: unlike ids, which may repeat, no two rows share it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
+        held, key, number = [], None, TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
             ids = np.array([h[0] for h in held], "<i8").tobytes()
-            values = [*key, len(held), ids, b"".join(h[1] for h in held)]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int32()] * len(names) + [pa.int32(), pa.binary(), pa.binary()], strict=True)], [*names, "n", "ids", "vectors"])
+            values = [*key, len(held), ids, b"".join(h[1] for h in held), number]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int32()] * len(names) + [pa.int32(), pa.binary(), pa.binary(), pa.int64()], strict=True)], [*names, "n", "ids", "vectors", "number"])
 
         for batch in batches:
             keys = list(zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True))
             for k, i, v in zip(keys, batch.column(batch.schema.get_field_index("vec_id")).to_pylist(), batch.column(batch.schema.get_field_index("v")).to_pylist(), strict=True):
                 if held and (k != key or len(held) >= most):
                     yield flush()
-                    held = []
+                    held, number = [], number + 1
                 key = k
                 held.append((i, v))
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, ", ".join(f"{n} int" for n in names) + ", n int, ids binary, vectors binary")
+    return rows.mapInArrow(run, ", ".join(f"{n} int" for n in names) + ", n int, ids binary, vectors binary, number long")
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, annuli: int = ANNULI, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
@@ -215,7 +219,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
     met = blocks.mapInArrow(home, "qids binary, queries binary, cell int")
     floors = met.join(chunks.where("chunk = 0").select("cell", "ids", "vectors"), "cell").mapInArrow(score(True), "query_id long, floor double").groupBy("query_id").agg(F.max("floor").alias("floor"))
     # floors go back to their blocks: one row per query, gathered by block
-    numbered = blocks.select(F.xxhash64("ids").alias("b"), "ids", "vectors")
+    numbered = blocks.select(F.col("number").alias("b"), "ids", "vectors")
     members = keyed.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id")).distinct()
     known = scratch.keep(members.join(floors, "query_id", "left"))
 

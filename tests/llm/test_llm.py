@@ -339,6 +339,18 @@ def test_top_k_on_odd_vectors(spark):
     assert len(few) == 2
 
 
+def test_top_k_of_a_query_on_many_equal_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(1, 100)] + [(100, [1.0, 2.0, 0.0, 0.0])] * 600
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = [(i, np.floor(64 * np.float32(v).astype(float))) for i, v in rows]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vectors.top_k(df, lambda k: k % 20 == 0).collect()}
+    for q in (20, 40, 60, 80, 100):
+        best = sorted((-int(v @ x), i) for j, v in whole if j == q for i, x in whole if i != q)[:20]
+        assert [got[q, r + 1] for r in range(20)] == [(i, -s) for s, i in best], q
+    assert len(got) == 100
+
+
 def test_pipeline_stages_chain(spark):
     import corpus_pipeline
 
