@@ -4,6 +4,7 @@ import decimal
 import hashlib
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import duckdb
@@ -251,6 +252,42 @@ def test_leaks(spark):
     assert decontam.leaks(d, bench.where("false")).count() == 0 and decontam.leaks(d.where("false"), bench).count() == 0
 
 
+def test_leaks_whose_rarest_words_are_replaced(spark):
+    sf = "/root/testdata/sf0.01"
+    corpus = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    texts = [WORD.findall((r["text"] or "").lower()) for r in corpus.orderBy("doc_id").collect()]
+    frequency = Counter(w for t in texts for i in range(0, len(t), 64) for w in set(t[i : i + 64]))
+    around = [t for t in texts if len(t) >= 200]
+    planted, made = {}, []
+    for share in (0.25, 0.3, 0.35, 0.4):
+        for r in bench.orderBy("item_id").collect():
+            words, n = WORD.findall(r["text"].lower()), len(made)
+            gone = set(sorted(range(len(words)), key=lambda i: frequency[words[i]])[: int(share * len(words) + 1e-9)])
+            put = [f"new{n}x{i}" if i in gone else w for i, w in enumerate(words)]
+            outside = around[n % len(around)]
+            planted[10**9 + n] = share, r["item_id"]
+            made.append((10**9 + n, " ".join(outside[: n % 150] + put + outside[n % 150 : 200])))
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(corpus.unionByName(spark.createDataFrame(made, "doc_id long, text string")), bench).collect()}
+    caught = Counter(share for doc, (share, item) in planted.items() if (doc, item) in found)
+    n = len(made) / 4
+    assert caught[0.25] >= 0.95 * n and caught[0.3] >= 0.9 * n and caught[0.35] >= 0.8 * n and caught[0.4] >= 0.6 * n, caught
+
+
+def test_possible_never_drops_a_long_enough_subsequence():
+    rng = np.random.default_rng(6)
+    passages = [rng.integers(0, 30, n).astype(np.uint64) for n in rng.integers(5, 64, 40)]
+    q = decontam.Queries([(i, w, np.empty(0, np.uint64)) for i, w in enumerate(passages)])
+    idf = np.where(np.arange(len(q.terms)) % 3 == 0, 0, 1).astype(np.float32)
+    s = decontam.Searcher(q, idf, np.eye(len(idf), dtype=np.float32), 0.12, 0.6)
+    windows = [np.where(rng.random(len(p)) < rng.random(), p, 99).astype(np.uint64) for p in passages] + [rng.integers(0, 30, 128).astype(np.uint64) for _ in range(20)]
+    held = np.array([[(w == t).sum() for t in q.terms] for w in windows], np.uint8)
+    near, w = (x.ravel() for x in np.mgrid[: len(passages), : len(windows)])
+    ok = s.possible(near, w, held)
+    long = np.array([decontam.common_subsequence(passages[i], windows[j]) / len(passages[i]) >= 0.6 for i, j in zip(near, w, strict=True)])
+    assert long.any() and not (long & ~ok).any() and not ok.all()
+
+
 def test_subsequence():
     a = np.array([1, 2, 3, 4, 5], np.uint64)
     assert decontam.common_subsequence(a, np.array([9, 1, 3, 9, 5], np.uint64)) == 3
