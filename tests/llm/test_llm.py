@@ -401,3 +401,56 @@ def test_pipeline_stages_chain(spark):
     left = sorted(kept[1])
     assert not brute_links([texts[i] for i in left])
     assert hashlib.sha256(str(sorted(kept[3])).encode()).hexdigest()
+
+
+def test_pipeline_stages_against_plain_versions(spark):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    stages = [stage for _, stage in corpus_pipeline.STAGES]
+    given = queries.table(spark, SF, "documents")
+    after, rows = [given], [given.collect()]
+    for stage in stages[:4]:
+        after.append(stage(spark, after[-1], SF).cache())
+        rows.append(after[-1].collect())
+    texts = {r["doc_id"]: r["text"] for r in rows[0]}
+    assert len(texts) == len(rows[0])
+    ids = [sorted(r["doc_id"] for r in some) for some in rows]
+    assert all(len(set(ids[i])) == len(ids[i]) for i in range(4)) and len(ids[0]) > len(ids[1]) > len(ids[2]) > len(ids[3])
+
+    scores = toxicity.score(given, queries.toxic_model(given, queries.table(spark, SF, "labels"))).collect()
+    assert ids[1] == sorted(r["doc_id"] for r in scores if r["score"] < 0.3)
+
+    links, seen, first = brute_links([texts[i] for i in ids[1]]), set(), []
+    for i in range(len(ids[1])):  # ascending ids: the first of a group is its smallest
+        if i not in seen:
+            first.append(ids[1][i])
+            todo = [i]
+            while todo:
+                if (j := todo.pop()) not in seen:
+                    seen.add(j)
+                    todo += links.get(j, ())
+    assert ids[2] == first
+
+    number = {}
+    numbers = lambda t: np.array([number.setdefault(w, len(number)) for w in WORD.findall((t or "").lower())], np.uint64)
+    items = [numbers(r["text"]) for r in queries.table(spark, SF, "benchmark").collect()]
+    assert all(0 < len(q) <= decontam.PASSAGE for q in items)
+
+    def leaks(words):
+        windows = [words[a : a + 128] for a in range(0, len(words), 64)]
+        return any(decontam.common_subsequence(q, w) >= 0.6 * len(q) for w in windows for q in items)
+
+    assert ids[3] == [i for i in ids[2] if not leaks(numbers(texts[i]))]
+
+    source = {r["doc_id"]: r["source"] for r in rows[3]}
+    size = Counter(source.values())
+    drawn = []
+    for i in ids[3]:
+        digest = hashlib.md5(f"0|{i}|{hashlib.md5((texts[i] or '').encode()).hexdigest()}".encode()).hexdigest()
+        drawn += [i] * poisson_count(len(source) / len(size) / size[source[i]], int(digest[:13], 16) / 2**52)
+    assert ids[4] == drawn
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    want = sorted((r["doc_id"], zlib.crc32(np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4").tobytes())) for r in rows[4])
+    assert sorted((r["doc_id"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, SF).collect()) == want
