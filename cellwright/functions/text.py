@@ -24,8 +24,8 @@ def filled(c: Column) -> Column:
 
 
 def count_class(c: Column, keep: str) -> Column:
-    """How many characters are in the regex class body ``keep``."""
-    return F.length(F.regexp_replace(c, f"[^{keep}]", "")).cast("long")
+    """How many characters are in the regex class body ``keep``. Others go a run at a time."""
+    return F.length(F.regexp_replace(c, f"[^{keep}]++", "")).cast("long")
 
 
 def basic_features(c: Column) -> dict[str, Column]:
@@ -37,7 +37,7 @@ def basic_features(c: Column) -> dict[str, Column]:
         "digit_count": count_class(c, r"\p{Nd}²³¹"),
         "alpha_count": count_class(c, r"\p{L}"),
         "space_count": (F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))).cast("long"),
-        "punct_count": F.length(F.regexp_replace(c, rf"[\p{{L}}\p{{N}}{SPACE}]", "")).cast("long"),
+        "punct_count": F.length(F.regexp_replace(c, rf"[\p{{L}}\p{{N}}{SPACE}]++", "")).cast("long"),
         "upper_count": count_class(c, r"\p{IsUppercase}"),
         "lower_count": count_class(c, r"\p{IsLowercase}"),
     }

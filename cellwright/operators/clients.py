@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import time
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .prompts import read_config
 
 # Models that are known by name, and their interfaces.
 API_CONFIGS = {"google": {"url": "https://generativelanguage.googleapis.com/v1beta/openai/", "key": "YOUR-API-KEY"}}
@@ -81,9 +85,21 @@ class OpenAIClient(Client):
         self.url, self.key, self.measure = url, key, measure
         super().__init__(model)
 
-    def chat(self, messages: list[dict], **how) -> str:
+    def _ask(self, path: str, body: dict | None = None) -> dict:
+        return post(f"{self.url.rstrip('/')}/{path}", body, {"Authorization": f"Bearer {self.key}"})
+
+    def available(self) -> bool:
+        try:
+            return bool(self._ask(f"models/{urllib.parse.quote(self.model, safe='')}"))
+        except (OSError, ValueError):  # unreachable, refused, or not JSON
+            return False
+
+    def chat(self, messages: list[dict], response_format: dict | None = None, **how) -> str:
+        """response_format: a JSON schema that the answer must follow."""
         start = time.time()
-        answer = post(f"{self.url.rstrip('/')}/chat/completions", {"model": self.model, "messages": messages, **how}, {"Authorization": f"Bearer {self.key}"})
+        if response_format:
+            how |= {"response_format": {"type": "json_schema", "json_schema": {"name": response_format.get("title", "answer"), "schema": response_format, "strict": True}}}
+        answer = self._ask("chat/completions", {"model": self.model, "messages": messages, **how})
         if self.measure:
             self.total_tokens += answer.get("usage", {}).get("total_tokens", 0)
             self.total_time += time.time() - start
@@ -102,11 +118,19 @@ def create(api: str, model: str, **how) -> Client:
 
 
 class Factory:
-    """Clients from a table of models; arguments given here win over the table, which wins over its api_config."""
+    """Clients from a table of models; arguments given here win over the table, which wins over its api_config.
+
+    config: the table, or the path of a YAML or JSON file that holds it; without it, the models known by name.
+    """
 
-    def __init__(self, config: dict | None = None):
-        config = config or {}
-        self.apis, self.models = config.get("api_configs", API_CONFIGS), config.get("models", MODELS)
+    def __init__(self, config: dict | str | None = None):
+        self.config = config
+        self.reload_config()
+
+    def reload_config(self) -> None:
+        """Read the file again. A missing file is a FileNotFoundError, one that can't be read a ValueError."""
+        table = read_config(self.config) if isinstance(self.config, str) else self.config or {}
+        self.apis, self.models = table.get("api_configs", API_CONFIGS), table.get("models", MODELS)
 
     def settings(self, model: str, **override) -> dict:
         if model not in self.models:
@@ -121,8 +145,9 @@ class Factory:
     def api_config(self, name: str) -> dict:
         return self.apis.get(name, {})
 
-    def available_models(self) -> list[str]:
-        return list(self.models)
+    def available_models(self) -> dict[str, str]:
+        """The interface of each model."""
+        return {m: c["api"] for m, c in self.models.items()}
 
     def models_by_api(self, api: str) -> list[str]:
         return [m for m, c in self.models.items() if c["api"] == api]
@@ -141,7 +166,8 @@ def respond(prompts: DataFrame, make: Callable[[], Client], how: dict | None = N
     """``prompts`` (with a column prompt) plus response, tokens and seconds. One client a partition.
 
     A metered interface allows one call at a time: its prompts go to one partition, few as they are
-    (k / batch size a column).
+    (k / batch size a column), so give it those of all columns together. The result is lazy: each action
+    on it sends the prompts again, so write it before use.
     """
     how = how or {}
 
@@ -158,3 +184,9 @@ def respond(prompts: DataFrame, make: Callable[[], Client], how: dict | None = N
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
     return (prompts.repartition(1) if wait else prompts).mapInPandas(run, f"{fields}, response string, tokens long, seconds double")
+
+
+def usage(responses: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., n_prompts, total_tokens, total_time) of responses."""
+    totals = [F.count("*").alias("n_prompts"), F.sum("tokens").alias("total_tokens"), F.sum("seconds").alias("total_time")]
+    return responses.groupBy(*by).agg(*totals) if by else responses.agg(*totals)

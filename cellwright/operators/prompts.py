@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # The prompt's parts, word for word, in the order they are joined.
@@ -45,29 +47,43 @@ class PromptManager:
         return self.templates[category][name]
 
     def prompt(self, column: str, data_json: Column, label_json: Column, rules: Column | None = None, examples: Column | None = None) -> Column:
-        """The whole prompt: system, instructions, rules if not null, examples if not null, input, output."""
-        t = lambda name: self.get("error_detection", name)
-        parts = [F.lit(t("system_prompt")), F.lit(t("base_instruction").replace("{column_name}", column))]
+        """The whole prompt: system, instructions, rules if there are any, examples if there are any, input, output."""
+        t = lambda name, **values: filled_in(self.get("error_detection", name), values)
+        parts = [t("system_prompt"), t("base_instruction", column_name=column)]
         if rules is not None:
-            parts.append(F.coalesce(F.replace(F.lit(t("rule_instruction").replace("{column}", column)), F.lit("{rules}"), rules), F.lit("")))
+            parts.append(F.coalesce(t("rule_instruction", column=column, rules=rules), F.lit("")))
         if examples is not None:
-            parts.append(F.coalesce(F.replace(F.lit(t("fewshot_template")), F.lit("{examples}"), examples), F.lit("")))
-        parts.append(F.replace(F.lit(t("input_template")), F.lit("{data_json}"), data_json))
-        parts.append(F.replace(F.lit(t("output_template")), F.lit("{output_json}"), label_json))
-        return F.concat(*parts)
+            parts.append(F.coalesce(t("fewshot_template", examples=examples), F.lit("")))
+        return F.concat(*parts, t("input_template", data_json=data_json, column_name=column), t("output_template", output_json=label_json))
 
     def examples(self, rows: DataFrame, column: str, key: str) -> str | None:
-        """The few-shot block of at most a few chosen rows (gathered by the driver); None without rows."""
-        out = []
+        """The few-shot block of at most a few chosen rows (gathered by the driver); None without rows.
+
+        A row's cells stand as Python prints a dict, as models were shown them before.
+        """
+        template, out = self.get("error_detection", "example_template"), []
         for i, r in enumerate(rows.collect(), 1):
             row = {k: v for k, v in r.asDict().items() if k not in ("clean_value", key)}
-            text = self.get("error_detection", "example_template")
-            for name, value in (("example_num", i), ("row_data", json.dumps(row, ensure_ascii=False)), ("column", column), ("original_value", r[column]), ("clean_value", r["clean_value"])):
-                text = text.replace("{" + name + "}", str(value))
-            out.append(text + "\n\n")
+            values = {"example_num": i, "row_data": row, "column": column, "original_value": r[column], "clean_value": r["clean_value"]}
+            out.append(PLACE.sub(lambda m, v=values: str(v[m[1]]), template) + "\n\n")
         return "".join(out) or None
 
 
+PLACE = re.compile(r"\{(\w+)\}")
+
+
+def filled_in(template: str, values: dict[str, Column | str]) -> Column:
+    """The template with its places filled, in one pass: braces within a value stay as they are."""
+    pieces = PLACE.split(template)  # text and names in turn
+    put = [values[x] if i % 2 else x for i, x in enumerate(pieces)]
+    return F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in put if isinstance(x, Column) or x])
+
+
+def rule_text(rule: dict, fields: list[str]) -> str:
+    """A column's rule as Python prints its dict, without the name; what it lacks and another rule has is ``nan``."""
+    return str({f: float("nan") if rule.get(f) is None else rule[f] for f in fields if f != "name"})
+
+
 def read_config(path: str) -> dict:
     """A missing file is a FileNotFoundError, one that can't be read a ValueError."""
     text = Path(path).read_text()
@@ -113,10 +129,39 @@ def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
     return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("long"))
 
 
+def json_text(value: Column) -> Column:
+    """A string as JSON, with what lies beyond ASCII as it is."""
+    out = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for i in range(32):
+        out = F.replace(out, F.lit(chr(i)), F.lit(json.dumps(chr(i))[1:-1]))
+    return F.concat(F.lit('"'), out, F.lit('"'))
+
+
+def json_value(df: DataFrame, column: str) -> Column:
+    """A cell as JSON: null, a bare number or truth value, else a string."""
+    kind, c = df.schema[column].dataType, F.col(column)
+    bare = isinstance(kind, T.BooleanType) or isinstance(kind, T.NumericType)
+    return F.coalesce(c.cast("string") if bare else json_text(c.cast("string")), F.lit("null"))
+
+
+def json_object(fields: list[tuple[str, Column]], indent: int) -> Column:
+    """One object, a field a line, indented by two blanks more than its braces."""
+    inner, outer = "\n" + " " * (indent + 2), "\n" + " " * indent
+    each = [x for i, (name, value) in enumerate(fields) for x in (F.lit(("," if i else "") + inner + json.dumps(name, ensure_ascii=False) + ": "), value)]
+    return F.concat(F.lit("{"), *each, F.lit(outer + "}"))
+
+
 def batch_documents(rows: DataFrame, columns: list[str], key: str, size: int) -> DataFrame:
-    """(batch, ids, data_json, label_json): the rows of each batch as JSON, and the answer to fill in."""
-    doc = F.to_json(F.struct(*[F.col(c) for c in columns if c != "row_id"], F.col(key).alias("row_id")))
-    each = batches(rows, key, size).select("batch", F.struct(F.col(key).alias("id"), doc.alias("doc")).alias("r"))
+    """(batch, ids, data_json, label_json): the rows of each batch as JSON, and the answer to fill in; two blanks a level."""
+    number = json_value(rows, key)
+    doc = json_object([(c, json_value(rows, c)) for c in columns if c != "row_id"] + [("row_id", number)], 2)
+    blank = json_object([("row_id", number), ("is_error", F.lit("null"))], 4)
+    each = batches(rows, key, size).select("batch", F.struct(F.col(key).alias("id"), doc.alias("doc"), blank.alias("blank")).alias("r"))
     gathered = each.groupBy("batch").agg(F.array_sort(F.collect_list("r")).alias("r"))
-    blank = F.transform("r", lambda r: F.concat(F.lit('{"row_id": '), r["id"].cast("string"), F.lit(', "is_error": null}')))
-    return gathered.select("batch", F.transform("r", lambda r: r["id"]).alias("ids"), F.concat(F.lit("["), F.array_join(F.transform("r", lambda r: r["doc"]), ", "), F.lit("]")).alias("data_json"), F.concat(F.lit('{"labels": ['), F.array_join(blank, ", "), F.lit("]}")).alias("label_json"))
+    inside = lambda field, indent: F.array_join(F.transform("r", lambda r: F.concat(F.lit(" " * indent), r[field])), ",\n")
+    return gathered.select(
+        "batch",
+        F.transform("r", lambda r: r["id"]).alias("ids"),
+        F.concat(F.lit("[\n"), inside("doc", 2), F.lit("\n]")).alias("data_json"),
+        F.concat(F.lit('{\n  "labels": [\n'), inside("blank", 4), F.lit("\n  ]\n}")).alias("label_json"),
+    )

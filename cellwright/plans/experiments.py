@@ -6,6 +6,7 @@ import argparse
 import logging
 import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,9 @@ from ..operators.clustering import Clusterer, LabelPropagator
 from ..operators.dependencies import nmi_matrix, top_relations
 from ..operators.features import dataset_features
 from ..operators.profile import preprocess_dataset
-from ..sources.datasets import Dataset, load_dataset
+from ..sources.datasets import RULE_FIELDS, Dataset, load_dataset
 from ..sources.results import save_result
+from ..sources.scratch import Scratch
 
 log = logging.getLogger(__name__)
 SWEEP = {"datasets": ["beers", "flights", "hospital", "spotify"], "k": [10, 20, 30], "seeds": [114, 42, 123]}
@@ -29,6 +31,7 @@ def propagation_run(data: Dataset, k: int = 20, seed: int = 114, clusterer: Clus
     propagator = LabelPropagator(dataset_features(ready.dirty, ready.key), ready.key, clusterer, k, seed)
     predicted = propagator.propagate_dataset(ready.labels)
     result = metrics.Evaluator().evaluate(ready.labels, predicted, ready.key, data.name, "label_propagation")
+    propagator.forget()
     result |= {"execution_time": time.time() - start, "k": k, "seed": seed, "preprocessing": stats}
     if save:
         save_result(result, data.name, k, seed)
@@ -40,29 +43,33 @@ def detection_run(data: Dataset, respond: Callable[[DataFrame], DataFrame], stra
     start = time.time()
     ready, stats = preprocess_dataset(data)
     key, plan, manager = ready.key, prompts.Strategy.of(list(strategies), fewshot_k), prompts.PromptManager()
-    columns = [c for c in ready.dirty.columns if c != key]
+    columns, scratch = [c for c in ready.dirty.columns if c != key], Scratch(data.dirty.sparkSession, "answers")
     propagator = LabelPropagator(dataset_features(ready.dirty, key), key, clusterer, k, seed)
     _, reps = propagator.sample()
-    reps = reps.cache()
     related = {}
     if plan.related:
         for r in top_relations(nmi_matrix(ready.dirty, columns), 0.9, 5, 1).orderBy("rank").collect():  # at most five a column
             related.setdefault(r["col1"], []).append(r["col2"])
-    rules = {r["name"]: r.asDict() for r in ready.rules.collect()} if plan.rules and ready.rules is not None else {}  # a row a column
-    labels = None
+    found = [r.asDict() for r in ready.rules.collect()] if plan.rules and ready.rules is not None else []  # a row a column
+    fields = [f for f in RULE_FIELDS if any(r[f] is not None for r in found)]
+    rules = {r["name"]: prompts.rule_text(r, fields) for r in found}
+    asked = []
     for column in columns:
-        ids = reps.where(F.col("column") == column).select(F.col("rep").alias(key))
-        shown = [column, *related.get(column, [])]
-        rows = ready.dirty.join(ids, key, "left_semi")
-        docs = prompts.batch_documents(rows, shown, key, batch_size)
-        rule = F.lit(str(rules[column])) if column in rules else None
+        rows = ready.dirty.join(reps.where(F.col("column") == column).select(F.col("rep").alias(key)), key, "left_semi")
+        docs = prompts.batch_documents(rows, [column, *related.get(column, [])], key, batch_size)
+        rule = F.lit(rules[column]) if column in rules else None
         examples = manager.examples(fewshot.select_few_shot(ready.dirty, ready.clean, column, key, fewshot_k, seed=seed), column, key) if fewshot_k else None
-        asked = docs.select(F.lit(column).alias("column"), "batch", manager.prompt(column, F.col("data_json"), F.col("label_json"), rule, F.lit(examples) if examples else None).alias("prompt"))
-        found = labelling.settle_labels(labelling.parse_labels(respond(asked)), ids.withColumn("column", F.lit(column)), key, ["column"])
-        labels = found if labels is None else labels.unionByName(found)
+        asked.append(docs.select(F.lit(column).alias("column"), "batch", manager.prompt(column, F.col("data_json"), F.col("label_json"), rule, F.lit(examples) if examples else None).alias("prompt")))
+    # all prompts go out in one pass, and what comes back is written before anything reads it: no prompt is sent twice
+    answers = scratch.keep(respond(reduce(DataFrame.unionByName, asked)))
+    known = reps.select("column", F.col("rep").alias(key))
+    labels = labelling.settle_labels(labelling.parse_labels(answers), known, key, ["column"])
     predicted = propagator.propagate(labels)
     result = metrics.Evaluator().evaluate(ready.labels, predicted, key, data.name)
-    return result | {"execution_time": time.time() - start, "preprocessing": stats}
+    spent = {"usage": clients.usage(answers).first().asDict()} if {"tokens", "seconds"} <= set(answers.columns) else {}
+    scratch.drop(answers)
+    propagator.forget()
+    return result | {"execution_time": time.time() - start, "preprocessing": stats} | spent
 
 
 def sweep(spark: SparkSession, root: str, datasets: list[str] = SWEEP["datasets"], ks: list[int] = SWEEP["k"], seeds: list[int] = SWEEP["seeds"]) -> list[dict]:

@@ -20,8 +20,9 @@ def violations_stream(stream: DataFrame, rules: dict[str, dict]) -> DataFrame:
 
 
 def violation_rates(stream: DataFrame, rules: dict[str, dict], time_col: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """(window, column, n, n_errors) per time window, with a watermark."""
-    each = violations_stream(stream, rules).withWatermark(time_col, late)
+    """(window, column, n, n_errors) per time window, with a watermark. Times without a zone are read in the session's."""
+    timed = stream.withColumn(time_col, F.col(time_col).cast("timestamp"))
+    each = violations_stream(timed, rules).withWatermark(time_col, late)
     names = F.array(*[F.lit(c) for c in rules])
     rows = each.select(time_col, "violations", F.explode(names).alias("column"))
     return rows.groupBy(F.window(time_col, window), "column").agg(F.count("*").alias("n"), F.sum(F.array_contains("violations", F.col("column")).cast("long")).alias("n_errors"))
