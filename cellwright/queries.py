@@ -6,14 +6,17 @@ where 19 divides the key, else blanked where 23 does. Floats are rounded to nine
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import BASIC, tokens, value_of
-from .operators import clustering, dependencies, features, fewshot, labelling, metrics, profile, prompts
+from .operators import clients, clustering, dependencies, features, fewshot, labelling, metrics, profile, prompts
 from .sources import datasets
+from .sources.scratch import Scratch
+from .streaming import checks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,19 +59,11 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources -------------------------------------------------------------------------------------
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the folder the cluster shares; in the warehouse where none is set."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/cellwright-{name}-{uuid.uuid4().hex}"
-
-
 @query("select n_nationkey::varchar as n_nationkey, case when n_nationkey % 5 = 0 then '' else n_name end as n_name, n_regionkey::varchar as n_regionkey, 'say \"' || n_name || '\", ok' as note from nation")
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("n_nationkey") % 5 == 0, F.lit("")).otherwise(F.col("n_name"))
     rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string"), name.alias("n_name"), F.col("n_regionkey").cast("string"), F.concat(F.lit('say "'), F.col("n_name"), F.lit('", ok')).alias("note"))
-    path = scratch(spark, "csv")
+    path = Scratch(spark, "csv").path()
     rows.write.options(header=True, quote='"', escape='"', emptyValue="").csv(path)
     return datasets.read_csv(spark, path)
 
@@ -81,13 +76,36 @@ RULES = [
 
 @query("select * from (values ('p_size', 'size', 'integer', 'plain integer', null), ('p_brand', 'brand', 'category', 'Brand#NN', 'never empty')) t(name, meaning, data_type, format_rule, null_value_rule)")
 def rules_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import json
-
-    path = scratch(spark, "rules")
+    path = Scratch(spark, "rules").path()
     spark.createDataFrame([(json.dumps({"columns": RULES}),)], "value string").coalesce(1).write.text(path)
     return datasets.read_rules(spark, path)
 
 
+def dataset_root(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with one dataset, ``nations``: names blanked where 5 divides the key, and two rules."""
+    root = Scratch(spark, "datasets").path()
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").coalesce(1)
+    name = F.when(F.col("n_nationkey") % 5 == 0, F.lit("")).otherwise(F.col("n_name"))
+    for file, value in (("dirty", name), ("clean", F.col("n_name"))):
+        rows.select(F.col("n_nationkey").alias("key"), value.alias("name"), F.col("n_regionkey").alias("region")).coalesce(1).write.options(header=True, quote='"', escape='"', emptyValue="").csv(f"{root}/nations/{file}.csv")
+    spark.createDataFrame([('{"columns": [{"name": "name", "meaning": "country"}, {"name": "region", "data_type": "integer"}]}',)], "value string").coalesce(1).write.text(f"{root}/nations/rule.json")
+    return root
+
+
+@query("select row_number() over (order by n_nationkey) - 1 as row_id, n_nationkey::varchar as key, case when n_nationkey % 5 = 0 then '' else n_name end as name, n_regionkey::varchar as region, n_name as clean_name from nation")
+def dataset_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = datasets.load_dataset(spark, dataset_root(spark, sf_dir), "nations")
+    return data.dirty.join(data.clean.select("row_id", F.col("name").alias("clean_name")), "row_id")
+
+
+@query("select 'nations' as name, true as has_clean, true as has_dirty, true as has_rules, count(*) as n_rows, 3::bigint as n_columns, 'key,name,region' as columns, 2::bigint as num_rules from nation")
+def dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = dataset_root(spark, sf_dir)
+    found = [datasets.dataset_info(spark, root, n) for n in datasets.available_datasets(spark, root)]
+    rows = [(i["name"], i["has_clean"], i["has_dirty"], i["has_rules"], *i["dirty_shape"], ",".join(i["columns"]), i["num_rules"]) for i in found]
+    return spark.createDataFrame(rows, "name string, has_clean boolean, has_dirty boolean, has_rules boolean, n_rows long, n_columns long, columns string, num_rules long")
+
+
 # --- labels and profiles -------------------------------------------------------------------------
 
 
@@ -102,9 +120,15 @@ def error_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(nine("error_ratio").alias("error_ratio"), nine("error_rate").alias("error_rate"))
 
 
-@query(WITH + " select row_id, 'o_orderpriority' as \"column\", coalesce(d.o_orderpriority <> c.o_orderpriority, true) as is_error from (select * from dirty where row_id % 10 <> 3) d full join (select * from clean where row_id % 10 <> 4) c using (row_id)")
+_OUTER = "with d as (select c_custkey as row_id, c_mktsegment as label, (c_nationkey % 3)::varchar as class from customer), c as (select o_custkey as row_id, max(o_orderpriority) as label, min(o_custkey % 3)::varchar as class from orders group by o_custkey)"
+
+
+@query(_OUTER + " " + " union all ".join(f"select row_id, '{c}' as \"column\", coalesce(d.{c} <> c.{c}, true) as is_error from d full join c using (row_id)" for c in ("label", "class")))
 def dirty_clean_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.error_labels(dirty_orders(spark, sf_dir).where("row_id % 10 <> 3"), clean_orders(spark, sf_dir).where("row_id % 10 <> 4"), "row_id", ["o_orderpriority"])
+    """Two whole tables that don't have the same keys: customers, and what their orders say of them."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_mktsegment").alias("label"), (F.col("c_nationkey") % 3).cast("string").alias("class"))
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("row_id")).agg(F.max("o_orderpriority").alias("label"), F.min(F.col("o_custkey") % 3).cast("string").alias("class"))
+    return profile.error_labels(customers, orders, "row_id")
 
 
 PROFILE = {
@@ -134,6 +158,25 @@ def pruned_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c, c in keep, gone.get(c)) for c in df.columns[1:]], "column string, kept boolean, reason string")
 
 
+def renamed_orders(spark: SparkSession, sf_dir: str) -> datasets.Dataset:
+    """Dirty and clean orders, whose clean columns have other names, with a column that has one value."""
+    dirty, clean = (df.withColumn("o_one", F.lit("x")) for df in (dirty_orders(spark, sf_dir), clean_orders(spark, sf_dir)))
+    return datasets.Dataset("orders", dirty, clean.toDF("row_id", "a", "b", "c", "d"))
+
+
+@query(WITH + " " + " union all ".join(f"select d.row_id, '{c}' as \"column\", coalesce(d.{c} <> c.{c}, true) as is_error from dirty d join clean c using (row_id)" for c in COLUMNS))
+def preprocess_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.preprocess_dataset(renamed_orders(spark, sf_dir))[0].labels
+
+
+@query(WITH + " select 'orders' as dataset, (select count(*) from dirty) as n_rows, 4::bigint as n_before, 3::bigint as n_after, 'o_one' as removed, 'Constant value: dirty=x, clean=x' as reason, round(avg(e), 9) as error_ratio from (" + " union all ".join(f"select avg((d.{c} <> c.{c})::int) as e from dirty d join clean c using (row_id)" for c in COLUMNS) + ")")
+def preprocess_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, s = profile.preprocess_dataset(renamed_orders(spark, sf_dir))
+    row = (s["dataset_name"], *s["original_shape"], s["final_shape"][1], ",".join(s["removed_columns"]), ";".join(s["removal_reasons"].values()), s["error_ratio"])
+    found = spark.createDataFrame([row], "dataset string, n_rows long, n_before long, n_after long, removed string, reason string, error_ratio double")
+    return found.withColumn("error_ratio", nine("error_ratio"))
+
+
 # --- text features -------------------------------------------------------------------------------
 
 _COUNTS = {
@@ -156,11 +199,11 @@ def basic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with t as (select p_partkey, regexp_replace(lower(p_name), '\\s\\s+', ' ', 'g') as t from part),
 chars as (select p_partkey, unnest(string_split(t, '')) as c from t where t <> ''),
 tf as (select p_partkey, c, count(*) as tf from chars group by all),
-vocab as (select c, sum(tf) as ctf, count(*) as df from tf group by c order by ctf desc, c limit 12),
+vocab as (select c, sum(tf) as ctf, count(*) as df from tf group by c order by ctf desc, c limit 200),
 w as (select p_partkey, c, tf * (ln((1e0 + (select count(*) from part)) / (1 + df)) + 1) as w from tf join vocab using (c))
 select p_partkey, 'char_' || c as feature, round(w / sqrt(sum(w * w) over (partition by p_partkey)), 9) as value from w""")
 def char_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.char_tfidf(table(spark, sf_dir, "part"), "p_name", "p_partkey", 12).withColumn("value", nine("value"))
+    return features.char_tfidf(table(spark, sf_dir, "part"), "p_name", "p_partkey").withColumn("value", nine("value"))
 
 
 _TOKENS = r"regexp_extract_all({}, '\p{{L}}+|\p{{N}}|[^\s\p{{L}}\p{{N}}]')"
@@ -174,7 +217,7 @@ def token_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bins_sql(edges: str) -> str:
     return f"""with tok as (select p_partkey, unnest({_TOKENS.format("p_name")}) as token from part),
 f as (select token, count(*) as freq from tok group by token),
-shape as (select least(8, count(distinct freq)) as b, min(freq)::double as lo, max(freq)::double as hi from f),
+shape as (select least(50, count(distinct freq)) as b, min(freq)::double as lo, max(freq)::double as hi from f),
 edges as (select list_sort(list_distinct(list_transform(generate_series(0, b - 1), lambda i: round({edges}, 9)))) as e from shape),
 binned as (select token, greatest(len(list_filter(e, lambda x: x <= freq)) - 1, 0)::int as bin from f, edges),
 m as (select p_partkey, bin, count(*) as n from tok join binned using (token) group by all)
@@ -182,7 +225,7 @@ select p_partkey, bin, round(n / sum(n) over (partition by p_partkey), 9)::doubl
 
 
 def _bins(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    return features.token_bins(table(spark, sf_dir, "part"), "p_name", "p_partkey", 8, method).withColumn("value", nine("value"))
+    return features.token_bins(table(spark, sf_dir, "part"), "p_name", "p_partkey", method=method).withColumn("value", nine("value"))
 
 
 # linear interpolation in the sorted frequencies of unique tokens
@@ -242,6 +285,15 @@ def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dependencies.pair_counts(flags(spark, sf_dir), PAIRED)
 
 
+_GAPS = {"type": "nullif(p_type, 'STEEL')", "size": "nullif(p_size % 5, 0)::varchar"}
+
+
+@query(" union all ".join(f"select '{a}' as col1, '{b}' as col2, {x} as x, {y} as y, count(*) as n from part where {x} is not null and {y} is not null group by all" for (a, x), (b, y) in [(p, q) for i, p in enumerate(_GAPS.items()) for q in list(_GAPS.items())[i:]]))
+def pair_counts_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.nullif("p_type", F.lit("STEEL")).alias("type"), F.nullif(F.col("p_size") % 5, F.lit(0)).cast("string").alias("size"))
+    return dependencies.pair_counts(rows, ["type", "size"])
+
+
 @query(_NMI + " select * from nmi")
 def nmi_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dependencies.nmi_matrix(flags(spark, sf_dir), PAIRED)
@@ -326,9 +378,46 @@ def mllib_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.KMeansClusterer(20, 114).assign(order_vectors(spark, sf_dir), "row_id")
 
 
-@query(None)
+#: Orders whose priority is null where 23 divides the key.
+_GAPPY = DIRTY.replace("then ''", "then null")
+_PARTS = ", ".join(f"({e.replace('text', 'x')})::double" for e in _COUNTS.values()) + ", " + ", ".join(f"coalesce(({_COUNTS[k + '_count'].replace('text', 'x')}) / nullif(length(x), 0)::double, 0)" for k in ("digit", "alpha", "upper", "punct"))
+
+
+def _places(j: int, c: str) -> str:
+    """Support and confidence of the j-th column, which for the target itself are constants."""
+    both = f"count(*) over (partition by {c}, x)"
+    values = ("0e0", "0e0") if c == "x" else (f"{both} / (count(*) over ())::double", f"{both} / (count(*) over (partition by {c}))::double")
+    return " union all ".join(f"select row_id, bins_at + n_bins + {1 + 2 * j + i} as pos, {v} as value from t, sizes" for i, v in enumerate(values))
+
+
+@query(f"""with t as (select o_orderkey as row_id, coalesce({_GAPPY}, '') as x, o_orderstatus as s, (o_custkey % 7)::varchar as m from orders),
+base as (select row_id, [{_PARTS}] as v from t),
+own as (select row_id, generate_subscripts(v, 1) - 1 as pos, unnest(v) as value from base),
+ch as (select row_id, unnest(string_split(regexp_replace(lower(x), '\\s\\s+', ' ', 'g'), '')) as c from t where x <> ''),
+tf as (select row_id, c, count(*) as tf from ch group by all),
+vocab as (select *, row_number() over (order by ctf desc, c) - 1 as i from (select c, sum(tf) as ctf, count(*) as df from tf group by c) order by ctf desc, c limit 200),
+w as (select row_id, i, tf * (ln((1e0 + (select count(*) from t)) / (1 + df)) + 1) as w from tf join vocab using (c)),
+tfidf as (select row_id, 11 + i as pos, w / sqrt(sum(w * w) over (partition by row_id)) as value from w),
+tok as (select row_id, unnest({_TOKENS.format("x")}) as token from t),
+f as (select token, count(*) as freq from tok group by token),
+shape as (select least(50, count(distinct freq)) as b from f),
+edges as (select list_sort(list_distinct(list_transform(generate_series(0, b - 1), lambda i: round({_QUANTILE}, 9)))) as e from shape, (select list_sort(list(freq)) as fs from f)),
+sizes as (select 11 + (select count(*) from vocab) as bins_at, (select len(e) from edges) as n_bins),
+bins as (select row_id, bin, count(*) as n from tok join (select token, greatest(len(list_filter(e, lambda y: y <= freq)) - 1, 0) as bin from f, edges) using (token) group by all),
+shares as (select row_id, bins_at + bin as pos, n / sum(n) over (partition by row_id) as value from bins, sizes),
+lens as (select row_id, len({_TOKENS.format("x")})::double as n from t),
+counts as (select row_id, bins_at + n_bins as pos, coalesce((n - min(n) over ()) / nullif(max(n) over () - min(n) over (), 0), 0) as value from lens, sizes),
+fd as ({_places(0, "x")} union all {_places(1, "s")} union all {_places(2, "m")}),
+found as (select * from own union all select * from tfidf union all select * from shares union all select * from counts union all select * from fd),
+dense as (select t.row_id, p.pos, coalesce(f.value, 0) as x from t cross join (select unnest(generate_series(0, bins_at + n_bins + 6)) as pos from sizes) p left join found f on f.row_id = t.row_id and f.pos = p.pos),
+stats as (select pos, avg(x) as mean, stddev_pop(x) as dev from dense group by pos)
+select row_id, pos::int as pos, round(case when dev > 1e-9 then (x - mean) / dev else 0 end, 6) + 0e0 as value from dense join stats using (pos)""")
 def column_feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.column_features(dirty_orders(spark, sf_dir), "o_orderpriority", "row_id")[0]
+    """Every place of the whole feature vector of a column with nulls: statistics, characters, token bins, count, dependencies."""
+    key, p = F.col("row_id"), F.col("o_orderpriority")
+    rows = clean_orders(spark, sf_dir).withColumn("o_orderpriority", F.when(key % 19 == 0, F.lower(p)).when(key % 23 == 0, None).otherwise(p))
+    vectors, _ = features.column_features(rows, "o_orderpriority", "row_id")
+    return vectors.select("row_id", F.posexplode("vec").alias("pos", "x")).select("row_id", "pos", (F.round("x", 6) + F.lit(0.0)).alias("value"))
 
 
 @query(None)
@@ -388,6 +477,43 @@ def error_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"detection_rate": nine("detection_rate"), "false_alarm_rate": nine("false_alarm_rate"), "grade": metrics.grade(f1)})
 
 
+@query(f"""with counts as (select 'quality' as "column", {_COUNTED} from (select case when toxic = 1 then null else quality = 0 end as t, case when lang = 'fr' then null else n_chars > 2000 end as p from labels join documents using (doc_id)) where t is not null and p is not null) """ + _SCORES)
+def metrics_of_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that lack the true or the predicted label don't count."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    true = rows.select("doc_id", F.lit("quality").alias("column"), F.when(F.col("toxic") == 1, None).otherwise(F.col("quality") == 0).alias("is_error"))
+    found = rows.select("doc_id", F.lit("quality").alias("column"), F.when(F.col("lang") == "fr", None).otherwise(F.col("n_chars") > 2000).alias("is_error"))
+    return rounded(metrics.by_column(metrics.pair(true, found, "doc_id")))
+
+
+@query("""with n as (select count(*) as n from nation) select 'rows' as "case", 'Shape mismatch: (' || n || ', 3) and (' || 2 * n || ', 3)' as message from n
+union all select 'columns', 'Shape mismatch: (' || n || ', 3) and (' || n || ', 2)' from n
+union all select 'order', 'Column names do not match' union all select 'same', '1.0'""")
+def evaluation_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an evaluation answers when rows, columns or the columns' order differ, and when all agree."""
+    wide = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_regionkey") == 1).alias("a"), (F.col("n_regionkey") == 2).alias("b"))
+    cases = {"rows": wide.unionByName(wide), "columns": wide.select("n_nationkey", "a"), "order": wide.select("n_nationkey", "b", "a"), "same": wide}
+    found = {name: metrics.Evaluator().evaluate_wide(wide, other, "n_nationkey") for name, other in cases.items()}
+    return spark.createDataFrame([(n, r.get("error") or str(r["overall"]["f1_score"])) for n, r in found.items()], "`case` string, message string")
+
+
+@query("""select * from (values ('fewer features', 'features of the columns have unequal lengths'), ('other columns', 'columns of features and labels differ'), ('fewer labels', 'rows of features, but labels of')) t("case", message)""")
+def length_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What label propagation refuses."""
+    points = table(spark, sf_dir, "nation").select("n_nationkey", F.array(F.col("n_regionkey").cast("double")).alias("vec"))
+    few, labels = points.where("n_nationkey > 3"), points.select("n_nationkey", F.lit("a").alias("column"), F.lit(True).alias("is_error"))
+    made = lambda features: clustering.LabelPropagator(features, "n_nationkey", clustering.SeededCentroids(3, 1))
+    cases = {"fewer features": lambda: made({"a": points, "b": few}).sample(), "other columns": lambda: made({"b": points}).propagate_dataset(labels), "fewer labels": lambda: made({"a": points}).propagate_dataset(labels.where("n_nationkey > 3"))}
+    out = []
+    for name, run in cases.items():
+        try:
+            run()
+        except ValueError as e:
+            said = str(e)
+            out.append((name, next(m for m in ("features of the columns have unequal lengths", "columns of features and labels differ", "rows of features, but labels of") if m in said)))
+    return spark.createDataFrame(out, "`case` string, message string")
+
+
 # --- few-shot, prompts, labelling ----------------------------------------------------------------
 
 _FEW = WITH + """, j as (select d.row_id, d.o_orderpriority, d.o_orderstatus, d.o_custkey_mod, c.o_orderpriority as clean_value, md5(d.row_id::varchar || '|42') as h from dirty d join clean c using (row_id))
@@ -419,16 +545,65 @@ def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.sample_rows(table(spark, sf_dir, "customer"), ["c_mktsegment", "c_name"], ids, "c_custkey")
 
 
-@query("""with b as (select ((row_number() over (order by n_nationkey)) - 1) // 10 as batch, n_nationkey as k, n_name from nation)
-select batch, md5('You are an error detection assistant. Respond ONLY in valid JSON.' || chr(10) || 'Instructions:' || chr(10) ||
+#: The prompt's first part, and its rows and labels as JSON with two blanks a level.
+_HEAD = """'You are an error detection assistant. Respond ONLY in valid JSON.' || chr(10) || 'Instructions:' || chr(10) ||
  '- You are given a list of data rows extracted from a dataset, where the target column named `n_name`. Label each value from the target column as either an error or not an error. An error could be a typo or a formatting issue.' || chr(10) ||
- '- Only evaluate the `n_name` value.' || chr(10) || '- Only label values you are confident about. If you are not sure, do not label it as an error.' || chr(10) ||
- 'Input:' || chr(10) || '[' || string_agg('{"n_name":"' || n_name || '","row_id":' || k || '}', ', ' order by k) || ']' || chr(10) || chr(10) ||
- 'Please fill in the "is_error" field (either `true` or `false`) in the following JSON template:' || chr(10) || '{"labels": [' || string_agg('{"row_id": ' || k || ', "is_error": null}', ', ' order by k) || ']}' || chr(10)) as prompt_md5
-from b group by batch""")
+ '- Only evaluate the `n_name` value.' || chr(10) || '- Only label values you are confident about. If you are not sure, do not label it as an error.' || chr(10)"""
+_TAIL = """'Input:' || chr(10) || '[' || chr(10) || string_agg('  {' || chr(10) || '    "n_name": "' || n_name || '",' || chr(10) || '    "row_id": ' || k || chr(10) || '  }', ',' || chr(10) order by k) || chr(10) || ']' || chr(10) || chr(10) ||
+ 'Please fill in the "is_error" field (either `true` or `false`) in the following JSON template:' || chr(10) || '{' || chr(10) || '  "labels": [' || chr(10) ||
+ string_agg('    {' || chr(10) || '      "row_id": ' || k || ',' || chr(10) || '      "is_error": null' || chr(10) || '    }', ',' || chr(10) order by k) || chr(10) || '  ]' || chr(10) || '}' || chr(10)"""
+_ROWS = "b as (select ((row_number() over (order by n_nationkey)) - 1) // 10 as batch, n_nationkey as k, case when n_nationkey % 5 = 0 then '' else n_name end as n_name from nation)"
+
+
+def nations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Dirty and clean: names blanked where 5 divides the key."""
+    clean = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").cast("string").alias("n_regionkey"))
+    return clean.withColumn("n_name", F.when(F.col("n_nationkey") % 5 == 0, F.lit("")).otherwise(F.col("n_name"))), clean
+
+
+def nation_prompts(spark: SparkSession, sf_dir: str, rules: Column | None = None, examples: Column | None = None) -> DataFrame:
+    docs = prompts.batch_documents(nations(spark, sf_dir)[0], ["n_name"], "n_nationkey", 10)
+    return docs.select("batch", prompts.PromptManager().prompt("n_name", F.col("data_json"), F.col("label_json"), rules, examples).alias("prompt"))
+
+
+@query(f"with {_ROWS} select batch, md5({_HEAD} || {_TAIL}) as prompt_md5 from b group by batch")
 def prompt_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = prompts.batch_documents(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), ["n_name"], "n_nationkey", 10)
-    return docs.select("batch", F.md5(prompts.PromptManager().prompt("n_name", F.col("data_json"), F.col("label_json"))).alias("prompt_md5"))
+    return nation_prompts(spark, sf_dir).select("batch", F.md5("prompt").alias("prompt_md5"))
+
+
+@query(f"""with {_ROWS}, few as (select *, row_number() over (order by (k % 5 <> 0), md5(k::varchar || '|42'), k) as i from (select n_nationkey as k, n_name as clean_value, case when n_nationkey % 5 = 0 then '' else n_name end as n_name, n_regionkey::varchar as n_regionkey from nation)),
+shown as (select string_agg('Example ' || i || ':' || chr(10) || 'Row: {{''n_name'': ''' || n_name || ''', ''n_regionkey'': ''' || n_regionkey || '''}}' || chr(10) || 'Column: n_name' || chr(10) || 'Original value: ' || n_name || chr(10) || 'Corrected value: ' || clean_value || chr(10) || chr(10) || chr(10), '' order by i) as e from few where i <= 6)
+select batch, md5({_HEAD} || '- If value does not follow the rules, label it as an error.' || chr(10) || chr(10) || chr(10) || 'Rules for column ''n_name'':' || chr(10) || '{{''meaning'': ''country'', ''data_type'': ''category'', ''format_rule'': nan}}' || chr(10)
+ || chr(10) || chr(10) || 'Here are some examples:' || chr(10) || chr(10) || (select e from shown) || chr(10) || {_TAIL}) as prompt_md5 from b group by batch""")
+def prompt_with_rules_and_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dirty, clean = nations(spark, sf_dir)
+    block = prompts.PromptManager().examples(fewshot.select_few_shot(dirty, clean, "n_name", "n_nationkey", 6), "n_name", "n_nationkey")
+    rule = prompts.rule_text({"name": "n_name", "meaning": "country", "data_type": "category"}, ["name", "meaning", "data_type", "format_rule"])
+    return nation_prompts(spark, sf_dir, F.lit(rule), F.lit(block)).select("batch", F.md5("prompt").alias("prompt_md5"))
+
+
+class OddRows(clients.Client):
+    """Stands for a model: calls every row with an odd id an error, and counts a prompt's characters as tokens."""
+
+    def chat(self, messages: list[dict], **how) -> str:
+        text = messages[0]["content"]
+        self.total_tokens += len(text)
+        ids = [r["row_id"] for r in json.loads(text[text.index('{\n  "labels"') :])["labels"]]
+        return json.dumps({"labels": [{"row_id": i, "is_error": i % 2 == 1} for i in ids]})
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Scratch(spark, "answers").keep(clients.respond(nation_prompts(spark, sf_dir), lambda: OddRows("odd")))
+
+
+@query("select n_nationkey, n_nationkey % 2 = 1 as is_error from nation")
+def llm_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelling.settle_labels(labelling.parse_labels(answers(spark, sf_dir)), nations(spark, sf_dir)[0], "n_nationkey")
+
+
+@query(f"with {_ROWS}, p as (select batch, {_HEAD} || {_TAIL} as prompt from b group by batch) select count(*) as n_prompts, sum(length(prompt))::bigint as total_tokens from p")
+def llm_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clients.usage(answers(spark, sf_dir)).select("n_prompts", "total_tokens")
 
 
 _RESPONSE = "case conv_id % 5 when 0 then 'Sure: {\"labels\": [{\"row_id\": ' || conv_id || ', \"is_error\": true}, {\"row_id\": ' || conv_id || ', \"is_error\": false}]} done' when 1 then '{\"labels\":[{\"row_id\":\"' || conv_id || '\",\"is_error\":\"true\"}]}' when 2 then '{\"labels\":[{\"row_id\":' || conv_id || ',\"is_error\":null}]}' when 3 then 'garbage' else '{\"labels\":[{\"row_id\":-5,\"is_error\":true}]}' end"
@@ -447,3 +622,22 @@ select p_partkey, 'p_type', p_type not in ('STEEL', 'ECONOMY') from part""")
 def rule_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = {"p_brand": {"pattern": r"^Brand#[1-3][0-9]$"}, "p_size": {"data_type": "integer"}, "p_type": {"allowed": ["STEEL", "ECONOMY"]}}
     return labelling.label_by_rules(table(spark, sf_dir, "part"), rules, "p_partkey")
+
+
+# --- streams -------------------------------------------------------------------------------------
+
+
+@query("""select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, c as "column", count(*) as n, count(*) filter (case when c = 'event_type' then event_type is null or event_type not in ('click', 'view') else props is null or not regexp_matches(props, '^\\{"k": [0-4]') end) as n_errors
+from events cross join (values ('event_type'), ('props')) t(c) group by all""")
+def violation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule violations by hour, counted by a stream that reads all there is and ends."""
+    scratch = Scratch(spark, "windows")
+    path = scratch.path()
+    events = scratch.keep(table(spark, sf_dir, "events"), path)  # a stream reads a folder, and the table may be one file
+    stream = spark.readStream.schema(events.schema).parquet(path)
+    rates = checks.violation_rates(stream, {"event_type": {"allowed": ["click", "view"]}, "props": {"pattern": r'^\{"k": [0-4]'}}, "ts")
+    out = scratch.path()
+    found = rates.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "column", "n", "n_errors")
+    run = found.writeStream.outputMode("complete").option("checkpointLocation", scratch.path()).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(out)

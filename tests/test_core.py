@@ -198,17 +198,134 @@ def test_clients():
         prompts.PromptManager().get("error_detection", "none")
 
 
-def test_whole_runs(spark, root):
+def test_whole_runs(spark, root, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
     class Yes(clients.Client):  # local, so that it travels to the workers by value
         def chat(self, messages, **how):
-            ids = [x.split(",")[0] for x in messages[0]["content"].split('{"labels"')[1].split('"row_id": ')[1:]]
-            return json.dumps({"labels": [{"row_id": int(i), "is_error": int(i) == 2} for i in ids]})
+            import uuid
+
+            text = messages[0]["content"]
+            (calls / uuid.uuid4().hex).write_text(text)
+            self.total_tokens += 7
+            ids = [x["row_id"] for x in json.loads(text[text.index('{\n  "labels"') :])["labels"]]
+            return json.dumps({"labels": [{"row_id": i, "is_error": i == 2} for i in ids]})
 
     data = datasets.load_dataset(spark, root, "toy")
     r = experiments.propagation_run(data, 5, 1, clustering.SeededCentroids(5, 1))
     assert r["overall"]["f1_score"] == 1.0
     r = experiments.detection_run(data, lambda df: clients.respond(df, lambda: Yes("yes")), ["ZS-R", "A"], 1, 5, 2, clusterer=clustering.SeededCentroids(5, 1))
     assert r["overall"]["recall"] == 1.0 and math.isfinite(r["execution_time"])
+    sent = [c.read_text() for c in calls.iterdir()]
+    assert len(sent) == len(set(sent)) == r["usage"]["n_prompts"] == 9  # three columns of five rows, two a prompt: each once
+    assert r["usage"]["total_tokens"] == 63
+    mine = [t for t in sent if "Rules for column 'col1'" in t]
+    assert len(mine) == 3 and all("{'data_type': 'integer', 'meaning': nan}" in t or "{'meaning': nan, 'data_type': 'integer'}" in t for t in mine)
+
+
+def test_sweep_and_command_line(spark, root, capsys, monkeypatch, tmp_path):
+    monkeypatch.chdir(tmp_path)
+    ran = []
+
+    def run(data, k, seed, clusterer=None, save=False):
+        ran.append((data.name, k, seed))
+        result = metrics.Evaluator().evaluate(long(spark, TRUE), long(spark, PRED), "row_id", data.name)
+        return result | {"execution_time": 0.1} | ({"saved": results.save_result(result, data.name, k, seed)} if save else {})
+
+    monkeypatch.setattr(experiments, "propagation_run", run)
+    found = experiments.sweep(spark, root, ["toy", "missing"], [2], [1, 2])
+    assert [(r["dataset"], r["k"], r["seed"]) for r in found] == ran == [("toy", 2, 1), ("toy", 2, 2)]
+    experiments.main([root, "--dataset", "toy", "-k", "3", "--save"])
+    assert ran[-1] == ("toy", 3, 114) and "col1" in capsys.readouterr().out
+    assert len(list((tmp_path / "results" / "label_propagation").glob("toy_k3_seed114_*.json"))) == 1
+
+
+def test_prompts_keep_braces_and_control_characters(spark):
+    rows = spark.createDataFrame([(1, "say \"{column}\"\\\n\x01é", None)], "row_id long, a string, b string")
+    got = prompts.batch_documents(rows, ["a", "b"], "row_id", 5).first()
+    assert got["data_json"] == json.dumps([{"a": "say \"{column}\"\\\n\x01é", "b": None, "row_id": 1}], indent=2, ensure_ascii=False)
+    assert got["label_json"] == json.dumps({"labels": [{"row_id": 1, "is_error": None}]}, indent=2)
+    assert prompts.PromptManager().examples(rows.withColumn("clean_value", F.lit("{example_num}")), "a", "row_id").startswith("Example 1:\nRow: {'a': 'say \"{column}\"\\\\\\n\\x01é', 'b': None}\nColumn: a\n")
+    whole = rows.select(prompts.PromptManager().prompt("a", F.lit("{output_json}"), F.lit("{}"), F.lit("{rules} {column}")).alias("p")).first()["p"]
+    assert "Rules for column 'a':\n{rules} {column}\n" in whole and "Input:\n{output_json}\n" in whole
+
+
+def test_clients_over_a_mocked_interface(monkeypatch, tmp_path):
+    seen = []
+
+    def post(url, body, headers=None, timeout=30):
+        seen.append((url, body, headers))
+        if url.endswith("/api/tags"):
+            return {"models": [{"name": "m"}]}
+        if "/models/" in url:
+            if url.endswith("none"):
+                raise OSError("404")
+            return {"id": "m"}
+        if url.endswith("/api/generate"):
+            return {"response": "text"}
+        if url.endswith("/api/chat"):
+            return {"message": {"content": "hello"}}
+        return {"choices": [{"message": {"content": "{}"}}], "usage": {"total_tokens": 5}}
+
+    monkeypatch.setattr(clients, "post", post)
+    local = clients.create("ollama", "m")
+    assert local.chat([{"role": "user", "content": "x"}]) == "hello" and local.generate("x", think=False) == "text"
+    assert seen[-1][1] == {"model": "m", "prompt": "x", "stream": False, "think": False} and local.model_name() == "m"
+    with pytest.raises(ValueError):
+        clients.create("ollama", "other")
+    with pytest.raises(ValueError):
+        clients.create("openai", "none", url="http://h/v1/", key="k")
+    far = clients.create("openai", "m", url="http://h/v1/", key="k", measure=True)
+    assert far.generate("x", temperature=0, response_format=clients.LABELS_SCHEMA) == "{}"
+    url, body, headers = seen[-1]
+    assert url == "http://h/v1/chat/completions" and headers == {"Authorization": "Bearer k"} and body["messages"] == [{"role": "user", "content": "x"}]
+    assert body["response_format"]["json_schema"]["schema"] == clients.LABELS_SCHEMA and far.usage()["total_tokens"] == 5
+    path = tmp_path / "models.json"
+    path.write_text('{"models": {"m": {"api": "ollama"}}}')
+    factory = clients.Factory(str(path))
+    assert factory.available_models() == {"m": "ollama"} and factory.create("m").model == "m"
+    path.write_text('{"models": {"n": {"api": "ollama"}}}')
+    factory.reload_config()
+    assert factory.available_models() == {"n": "ollama"}
+    path.write_text("{")
+    with pytest.raises(ValueError):
+        factory.reload_config()
+    with pytest.raises(FileNotFoundError):
+        clients.Factory(str(tmp_path / "none.json"))
+
+
+def test_row_ids_over_many_files(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"{i}.csv").write_text("a\n" + "".join(f"{i}-{j}\n" for j in range(7)))
+    rows = datasets.with_row_id(datasets.read_csv(spark, str(tmp_path), multi_line=False)).orderBy("row_id").collect()
+    assert [r["row_id"] for r in rows] == list(range(35)) and len({r["a"] for r in rows}) == 35
+    assert all(int(x["a"][2:]) == int(y["a"][2:]) - 1 for x, y in zip(rows, rows[1:]) if x["a"][0] == y["a"][0])  # noqa: B905
+
+
+def test_missing_predictions_are_logged(spark, people, caplog):
+    vec, _ = features.column_features(people, "salary", "row_id")
+    p = clustering.LabelPropagator({"salary": vec, "city": vec}, "row_id", clustering.SeededCentroids(3, 1))
+    labels = people.select("row_id", F.lit("salary").alias("column"), F.lit(True).alias("is_error"))
+    p.propagate_column("salary", labels)
+    with caplog.at_level("WARNING"):
+        assert {r["column"] for r in p.prediction().collect()} == {"salary"}
+    assert "city" in caplog.text
+    p.forget()
+
+
+def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
+    from cellwright.sources import scratch
+
+    class Elsewhere:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError):
+        scratch.shared_folder(Elsewhere())
 
 
 def test_stream(spark, tmp_path):
