@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Scratch, partitions
+from .shared import Scratch, free, partitions, quoted
 from .textbatch import U64, Batch, mix, pieces
 
 SHINGLE = 5
@@ -91,7 +91,7 @@ def describe(documents: DataFrame, id_col: str, text_col: str, shingle: int, ban
             lists = pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(np.diff(at)), lists], ["doc", "print", "key", "size", "bands"])
 
-    source = documents.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+    source = documents.select(F.col(quoted(id_col)).alias("doc"), F.xxhash64(F.col(quoted(text_col))).alias("print"), F.col(quoted(text_col)).alias("text"))
     return source.mapInArrow(run, f"doc {dict(documents.dtypes)[id_col]}, print long, key binary, size long, bands array<long>")
 
 
@@ -218,7 +218,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     blocks = scratch.keep(candidates.groupBy("component").agg(F.ceil(F.greatest(F.sum("size") / block_shingles, F.count("*") / block_members)).cast("int").alias("n_blocks")))
     members = candidates.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
     members = scratch.keep(members.select(F.col("first.doc").alias("doc"), F.col("first.print").alias("print"), "key", "component", "many", "bands", "block", "n_blocks"))
-    texts = documents.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+    texts = documents.select(F.col(quoted(id_col)).alias("doc"), F.xxhash64(F.col(quoted(text_col))).alias("print"), F.col(quoted(text_col)).alias("text"))
     found = texts.join(members, texts["print"].eqNullSafe(members["print"]) & texts["doc"].eqNullSafe(members["doc"])).select(members["key"], "component", "many", "bands", "block", "n_blocks", "text")
     sets = shingle_sets(found, shingle)
     units = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")).select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "key", "many", "bands", "block", "shingles")
@@ -240,14 +240,16 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``documents`` with one of each group of near copies: the one with the smallest id.
 
-    Rows without words are no copies of one another and all stay. Repeated rows count once.
+    Rows without words are no copies of one another and all stay. Repeated rows count once. Null ids sort
+    last. All columns are kept, whatever their names. An empty table stays empty.
     """
     found = Scratch(documents.sparkSession, "near-dup-groups").keep(near_duplicates(documents, id_col, text_col, with_group=True, **how).withColumnRenamed(id_col, "doc"))
     grouped = found.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "print")).alias("first"))
     stay = grouped.select("first.doc", "first.print").unionByName(found.where("group is null").select("doc", "print").distinct())
     stay = stay.select(F.col("doc").alias("stay_doc"), F.col("print").alias("stay_print"))
-    marked = documents.withColumn("own_print", F.xxhash64(text_col))
-    kept = marked.join(stay, marked["own_print"].eqNullSafe(stay["stay_print"]) & marked[id_col].eqNullSafe(stay["stay_doc"]), "left_semi")
+    mark, doc, print_ = (free(n, documents.columns) for n in ("mark", "stay_doc", "stay_print"))
+    marked = documents.withColumn(mark, F.xxhash64(F.col(quoted(text_col))))
+    kept = marked.join(stay.select(F.col("stay_doc").alias(doc), F.col("stay_print").alias(print_)), F.col(mark).eqNullSafe(F.col(print_)) & F.col(quoted(id_col)).eqNullSafe(F.col(doc)), "left_semi")
     if found.groupBy("doc", "print").count().where("count > 1").limit(1).count():  # only then does a second shuffle of the texts pay
-        kept = kept.dropDuplicates(["own_print", id_col])
-    return kept.select(*documents.columns)
+        kept = kept.dropDuplicates([mark, id_col])
+    return kept.select(*[F.col(quoted(c)) for c in documents.columns])

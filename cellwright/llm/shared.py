@@ -1,58 +1,35 @@
-"""Where operators keep what they compute once: tables in the folder that the whole cluster shares."""
+"""What the operators share: scratch tables, names, the number of partitions."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from ..sources.scratch import Scratch, clear
 
+__all__ = ["Scratch", "bound", "clear", "free", "partitions", "quoted"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset, as in tests on one machine, a temporary folder of this process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = _own.setdefault("", tempfile.mkdtemp(prefix="cellwright-"))
-    return folder.rstrip("/")
 
+def quoted(name: str) -> str:
+    """The name as a reference, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-class Scratch:
-    """Intermediate tables of one run, as Parquet in the shared folder.
 
-    Writing a table cuts its lineage, and unlike a local checkpoint it outlives any executor. Tables
-    that a returned plan still reads go when the process ends; ``drop`` removes the others at once.
-    """
+def free(name: str, taken: list[str]) -> str:
+    """The name, or the first of ``name_2``, ``name_3``, ... that isn't taken; letter case doesn't tell names apart."""
+    have, i, out = {t.lower() for t in taken}, 1, name
+    while out.lower() in have:
+        i += 1
+        out = f"{name}_{i}"
+    return out
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self._n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
-        atexit.register(self._remove, self.root)
 
-    def path(self) -> str:
-        self._n += 1
-        return f"{self.root}/t{self._n}"
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def keep(self, df: DataFrame, path: str | None = None) -> DataFrame:
-        path = path or self.path()
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._kept_at = path
-        return out
 
-    def drop(self, *tables: DataFrame) -> None:
-        for df in tables:
-            if path := getattr(df, "_kept_at", None):
-                self._remove(path)
-
-    def _remove(self, path: str) -> None:
-        try:
-            hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001  the session has ended: nothing left to ask
-            pass
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
