@@ -1,17 +1,19 @@
 """Chat formatting of reply trees, with DataFrame operations only.
 
-Messages form trees by their parents. Root-to-leaf paths come from iterative self-joins: tables of
-ancestors 1, 2, 4, ... steps up (each the join of the last with itself), then one join per table that
-adds, to every (leaf, node) found so far, the node that many steps up. A path of n messages takes
-about 2 log2(n) joins, on keys that spread a long conversation over all tasks. The branches of a tree
-are ranked by the mean score of their messages, and the chosen ones are formatted as conversations.
+Messages form trees by their parents. Root-to-leaf paths come from iterative self-joins. Each round
+joins the nodes with themselves and doubles how far up each one reaches, with the sum of the scores on
+the way: after log2(n) rounds every leaf has the mean score of its path, and the branches of a tree are
+ranked by it. Only the chosen branches are then walked: one join per round's table adds, to every
+(leaf, node) found so far, the node that many steps up. So a tree of many branches of which few are
+wanted gives rows for these alone. All joins are on keys that spread a long conversation over all tasks.
+A chosen path is formatted as one conversation, in one row.
 
 Template: a turn is ``<|role|>``, a newline, the text, ``<|end|>`` and a newline. Inside roles and
 texts a backslash is doubled, and every control string gets one after its first character; so each
 backslash escapes the next character, no control string survives in a text, and dropping those
 backslashes gives the text back.
 
-A missing parent makes its child a root. Rows that agree in tree and node count once, the smallest
+A null tree is a tree of its own; rows without a node are left out. A missing parent makes its child a root. Rows that agree in tree and node count once, the smallest
 one. Messages on a cycle have no path and are left out. Null texts and roles are empty; missing scores
 are 0. Ties between branches go to the smaller leaf. An empty table gives no conversation.
 """
@@ -52,28 +54,35 @@ def linked(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, text_co
     return each.select("tree", F.col("node").cast("long").alias("node"), F.when(F.col("node") > 0, F.col("node").cast("long") - 1).alias("parent"), "m.role", "m.text", F.lit(0.0).alias("score"))
 
 
-def paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(tree, leaf, node, up): every node on the way from each leaf to its root, ``up`` steps above the leaf."""
+def ranked(messages: DataFrame, scratch: Scratch, per_tree: int | None) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree, leaf, rank, score) of the chosen branches, and the tables (tree, node, up) of ancestors 1, 2, 4, ... steps up."""
     same = lambda a, b: a.eqNullSafe(b)
-    nodes = messages.select("tree", "node", "parent")
+    nodes, most = messages.select("tree", "node", "parent", "score"), messages.count()
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-    steps = [scratch.keep(nodes.join(known, same(nodes["tree"], known["t"]) & (nodes["parent"] == known["n"])).select("tree", "node", F.col("parent").alias("up")))]
-    most = messages.count()
-    while steps[-1].limit(1).count() and 1 << len(steps) <= 2 * most:
-        a = steps[-1]
-        b = a.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("further"))
-        steps.append(scratch.keep(a.join(b, same(a["tree"], b["t"]) & (a["up"] == b["n"])).select("tree", "node", F.col("further").alias("up"))))
-    endless = steps.pop()  # empty, but for messages below a cycle
-    loose = endless.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-    parents = steps[0].select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct() if steps else loose
-    leaves = nodes.join(parents, same(nodes["tree"], parents["t"]) & (nodes["node"] == parents["n"]), "left_anti")
-    leaves = leaves.join(loose, same(leaves["tree"], loose["t"]) & (leaves["node"] == loose["n"]), "left_anti")
-    parts = [scratch.keep(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))]
-    for k in range(len(steps) - 1, -1, -1):
+    first = nodes.join(known, same(nodes["tree"], known["t"]) & (nodes["parent"] == known["n"]), "left")
+    reach = scratch.keep(first.select("tree", "node", F.col("n").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("length")))
+    rounds = [reach]
+    while reach.where("up is not null").limit(1).count() and 1 << len(rounds) <= 4 * most:
+        b = reach.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("further"), F.col("total").alias("more"), F.col("length").alias("longer"))
+        both = reach.join(b, same(reach["tree"], b["t"]) & (reach["up"] == b["n"]), "left")
+        reach = scratch.keep(both.select("tree", "node", F.col("further").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("longer", F.lit(0))).alias("length")))
+        rounds.append(reach)
+    parents = rounds[0].where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
+    ended = reach.where("up is null")  # the others are on a cycle, or below one
+    leaves = ended.join(parents, same(ended["tree"], parents["t"]) & (ended["node"] == parents["n"]), "left_anti")
+    leaves = leaves.select("tree", F.col("node").alias("leaf"), (F.col("total") / F.col("length")).alias("score"))
+    order = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
+    chosen = order if per_tree is None else order.where(F.col("rank") <= per_tree)
+    return scratch.keep(chosen.select("tree", "leaf", "rank", "score")), rounds[:-1]
+
+
+def paths(chosen: DataFrame, rounds: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(tree, leaf, node, up): every node on the way from each chosen leaf to its root, ``up`` steps above the leaf."""
+    parts = [scratch.keep(chosen.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up")))]
+    for k in range(len(rounds) - 1, -1, -1):
         sofar = functools.reduce(DataFrame.unionByName, parts)
-        jump = steps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("to"))
-        parts.append(scratch.keep(sofar.join(jump, same(sofar["tree"], jump["t"]) & (sofar["node"] == jump["n"])).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))))
-    scratch.drop(*steps, endless)
+        jump = rounds[k].where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("to"))
+        parts.append(scratch.keep(sofar.join(jump, sofar["tree"].eqNullSafe(jump["t"]) & (sofar["node"] == jump["n"])).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
@@ -86,16 +95,14 @@ def format_trees(messages: DataFrame, per_tree: int | None = 1, loss_role: str =
     scratch = Scratch(messages.sparkSession, "chat")
     rows = messages.select("tree", "node", "parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     messages = scratch.keep(rows.where("node is not null").groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("tree", "node", "m.*"))
-    way = scratch.keep(paths(messages, scratch))
-    own = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text", "score")
+    best, rounds = ranked(messages, scratch, per_tree)
+    way = paths(best, rounds, scratch)
+    own = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
     full = way.join(own, way["tree"].eqNullSafe(own["t"]) & (way["node"] == own["n"]))
-    branches = full.groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
-    ranked = branches.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
-    if per_tree is not None:
-        ranked = ranked.where(F.col("rank") <= per_tree)
-    ranked = ranked.select(F.col("tree").alias("rt"), F.col("leaf").alias("rl"), "rank", F.col("score").alias("mean"))
     lists = full.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))).alias("turns"))
-    chosen = lists.join(ranked, lists["tree"].eqNullSafe(ranked["rt"]) & (lists["leaf"] == ranked["rl"]))
+    means = best.select(F.col("tree").alias("rt"), F.col("leaf").alias("rl"), "rank", F.col("score").alias("mean"))
+    chosen = lists.join(means, lists["tree"].eqNullSafe(means["rt"]) & (lists["leaf"] == means["rl"]))
+    scratch.drop(*rounds)
     turn = lambda m: F.array(
         F.struct(F.concat(F.lit("<|"), escape(m["role"]), F.lit("|>\n")).alias("piece"), F.lit(False).alias("loss")),
         F.struct(escape(m["text"]).alias("piece"), F.coalesce(m["role"] == loss_role, F.lit(False)).alias("loss")),
