@@ -11,9 +11,12 @@ hash of their id. Feature extraction and scoring run on the executors over whole
 driver gathers is bounded by ``2 * per_class`` rows of at most ``2**bits`` indices, and what it
 broadcasts by ``2**bits`` weights.
 
-Nulls count as empty texts, which have no features and get the score of the bias alone. Rows with a
-repeated or null id are scored like any other. With labels of one class only, or none, every score
-is that class's share (0.5 without labels). Input columns other than the id and the text are not read.
+Nulls count as empty texts, which have no features and get the score of the bias alone. A row's score
+depends on its text only. Rows with a repeated or null id are scored like any other; of a labelled id
+that several rows have, the one whose features come first is learnt from, and an id that has both
+labels, or a null one, isn't. Texts of any length count whole. With labels of one class only, or none,
+every score is that class's share (0.5 without labels). An empty table gives no rows. Input columns
+other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import quoted
 from .textbatch import U64, Batch, mix, pieces
 
 BITS = 18
@@ -37,8 +41,8 @@ def indicators(batch: Batch, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     shift, rows, keys = U64(64 - bits), [], []
     text_of = np.repeat(np.arange(batch.n), np.diff(batch.offset))
     for n in (1, 2, 3):
-        start = np.arange(max(0, len(batch.codes) - n))  # the separator of the last text ends it
-        start = start[text_of[start] == text_of[start + n]] if n > 1 else start
+        start = np.arange(max(0, len(batch.codes) - n))
+        start = start[text_of[start] == text_of[start + n]]  # all of it before the separator that ends its text
         rows.append(text_of[start])
         keys.append(batch.spans(start, start + n) + U64(n))
     words, of = batch.words(), batch.of
@@ -157,8 +161,8 @@ def logistic(margin: np.ndarray, y: np.ndarray, share: float) -> tuple[float, fl
 
 def labelled(documents: DataFrame, labels: DataFrame, label: str, id_col: str, per_class: int, learn) -> tuple[DataFrame, float]:
     """The bounded sample (id, label) to learn from, and label 1's share of all rows that may be learned from."""
-    known = labels.select(F.col(id_col).alias("doc_key"), F.col(label).cast("int").alias("y")).where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1))
-    known = known.where(learn(F.col("doc_key")))
+    known = labels.select(F.col(quoted(id_col)).alias("doc_key"), F.col(quoted(label)).cast("int").alias("y")).where("doc_key is not null and y in (0, 1)")
+    known = known.where(learn(F.col("doc_key"))).groupBy("doc_key").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
     some = [known.where(F.col("y") == c).orderBy(F.xxhash64("doc_key"), "doc_key").limit(per_class) for c in (0, 1)]
@@ -167,7 +171,7 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, id_col: str, p
 
 def sample_texts(documents: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The sample's texts. The sample has at most 2 * per_class rows, so broadcasting it is bounded."""
-    return documents.select(F.col(id_col).alias("doc_key"), F.col(text_col).alias("text")).join(F.broadcast(sample.dropDuplicates(["doc_key"])), "doc_key")
+    return documents.select(F.col(quoted(id_col)).alias("doc_key"), F.col(quoted(text_col)).alias("text")).join(F.broadcast(sample), "doc_key")
 
 
 def train(documents: DataFrame, labels: DataFrame, learn, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, bits: int = BITS) -> Model:
@@ -180,10 +184,11 @@ def train(documents: DataFrame, labels: DataFrame, learn, label: str = "quality"
             blobs = [index[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(blobs, pa.binary())], ["doc_key", "y", "features"])
 
-    found = sample_texts(documents, sample, id_col, text_col).mapInArrow(extract, f"doc_key {dict(documents.dtypes)[id_col]}, y int, features binary").toArrow()
-    # repeated ids: one row each, in an order that doesn't depend on partitions
-    rows = sorted({(k, f): y for k, y, f in zip(*(found.column(c).to_pylist() for c in ("doc_key", "y", "features")), strict=True)}.items())
-    return fit([np.frombuffer(f, np.int32) for (_, f), _ in rows], np.array([1 if y else -1 for _, y in rows], dtype=float), share, bits)
+    found = sample_texts(documents, sample, id_col, text_col).mapInArrow(extract, f"doc_key {dict(documents.dtypes)[id_col]}, y int, features binary")
+    found = found.groupBy("doc_key").agg(F.min(F.struct("features", "y")).alias("m")).select("doc_key", "m.*").toArrow()  # a row an id
+    # in an order that doesn't depend on partitions
+    rows = sorted(zip(*(found.column(c).to_pylist() for c in ("doc_key", "features", "y")), strict=True))
+    return fit([np.frombuffer(f, np.int32) for _, f, _ in rows], np.array([1 if y else -1 for _, _, y in rows], dtype=float), share, bits)
 
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
@@ -194,4 +199,4 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             index, first = indicators(Batch(texts), bits)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(index, first))], [id_col, "score"])
 
-    return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(documents.dtypes)[id_col]}, score double")
+    return documents.select(F.col(quoted(id_col)), F.col(quoted(text_col))).mapInArrow(run, f"{quoted(id_col)} {dict(documents.dtypes)[id_col]}, score double")

@@ -1,22 +1,24 @@
 """Toxicity scores from subword-bag embeddings and a linear softmax.
 
-A word is the bag of its character n-grams (three to five code points, marked where they touch the
-word's ends) and of itself, each hashed to one of ``2**bits`` vectors. The mean of a word's bag goes
-through a linear softmax that gives the word's class. The vectors and the softmax are trained
-jointly in numpy, by full-batch Adam steps. Labels are for texts: a text is toxic if any of its
-distinct words is (noisy or), as a few words decide and a mean over a long text would drown them.
-All words of the whole text count, in training as in use. An unseen misspelling shares most n-gram
-vectors with the word it comes from.
+A text is the bag of all its words' subwords: each word's character n-grams (three to five code points,
+marked where they touch the word's ends) and the word itself, each hashed to one of ``2**bits`` vectors.
+The mean of the bag goes through a linear softmax that gives the text's class. The vectors and the
+softmax are trained jointly in numpy, by full-batch Adam steps. All words of the whole text count, as
+often as they stand there, in training as in use. An unseen misspelling shares most n-gram vectors with
+the word it comes from.
 
 The class map is linear, so a vector acts on a score through one number, its product with the
 difference of the two class rows. Scoring uses those numbers alone.
 
-The fit uses a bounded sample: of each class at most ``per_class`` labelled rows, the first by a
-hash of their id. What the driver gathers is bounded by it, and the broadcast by ``2**bits`` numbers.
+The fit uses a bounded sample: of each class at most ``per_class`` labelled rows and ``most_chars``
+characters, the first by a hash of their id, without texts of over a tenth of that. What the driver
+gathers is bounded by it, and the broadcast by ``2**bits`` numbers.
 
-Nulls count as empty texts and, having no words, get the score of the bias. Rows with a repeated or
-null id are scored like any other. With labels of one class only, or none, every score is that
-class's share (0.5 without labels). Input columns other than the id and the text are not read.
+Nulls count as empty texts and, having no words, get the score of the bias. Rows with a repeated or null id
+are scored like any other; of a labelled id that several rows have, the smallest text is learnt from,
+and an id that has both labels, or a null one, isn't. With labels of one class only, or none, every
+score is that class's share (0.5 without labels). An empty table gives no rows. Input columns other
+than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -28,15 +30,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .quality import labelled, logistic, sample_texts
+from .shared import quoted
 from .textbatch import CHUNK_CHARS, U64, Batch, mix, pieces
 
 BITS = 18
 PER_CLASS = 2000
 SIZES = (3, 4, 5)
-#: Log odds beyond which a text is as clear as can be; a word that repeats adds no more.
-CLEAR = 8.0
+#: Characters of the texts of one class that are learnt from at most; one text is at most a tenth of them.
+MOST_CHARS = 20_000_000
 
 
 def distinct_words(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
@@ -61,15 +65,15 @@ def subwords(batch: Batch, place: np.ndarray, bits: int = BITS) -> tuple[np.ndar
     return index, np.concatenate(([0], np.cumsum(np.bincount(np.concatenate(of), minlength=len(place)))))
 
 
-def pairs(batch: Batch, word: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct words of each text: the text and the word of each pair."""
-    both = np.unique(batch.of.astype(np.int64) * max(n_words, 1) + word)
-    return both // max(n_words, 1), both % max(n_words, 1)
+def counted(batch: Batch, word: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of each text: the text, the word and how often it stands there."""
+    both, count = np.unique(batch.of.astype(np.int64) * max(n_words, 1) + word, return_counts=True)
+    return both // max(n_words, 1), both % max(n_words, 1), count
 
 
-def means(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Mean of the values from each start to the next; none is empty."""
-    return np.add.reduceat(values, first[:-1]) / np.diff(first) if len(first) > 1 else np.empty(0)
+def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of the values from each start to the next; none is empty."""
+    return np.add.reduceat(values, first[:-1]) if len(first) > 1 else np.empty(0)
 
 
 def split(texts: list[str | None], most: int = CHUNK_CHARS) -> list[list[str | None]]:
@@ -82,25 +86,24 @@ def split(texts: list[str | None], most: int = CHUNK_CHARS) -> list[list[str | N
     return out
 
 
-def vocabulary(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """N-grams of each distinct word of all texts (indices, where each word's start), and the distinct words of each text (text, word)."""
-    hashes, grams, counts, in_text, in_word, at, n = [], [], [], [], [], 0, 0
+def bags(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of each text: the text, the n-gram's index, and its share of the text's bag."""
+    in_text, index, share, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)], 0
     for some in split(texts):
         batch = Batch(some)
-        place, word = distinct_words(batch)
-        index, first = subwords(batch, place, bits)
-        text, which = pairs(batch, word, len(place))
-        hashes.append(batch.spans(batch.begin[place], batch.end[place]))
-        grams.append(index)
-        counts.append(np.diff(first))
-        in_text.append(text + at)
-        in_word.append(which + n)
-        at, n = at + batch.n, n + len(place)
-    _, chosen, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    count, index = np.concatenate(counts), np.concatenate(grams)
-    begin, size = (np.cumsum(count) - count)[chosen], count[chosen]
-    first = np.concatenate(([0], np.cumsum(size)))
-    return index[np.arange(first[-1]) - np.repeat(first[:-1] - begin, size)], first, np.concatenate(in_text), inverse[np.concatenate(in_word)]
+        if len(batch.begin):
+            place, word = distinct_words(batch)
+            grams, first = subwords(batch, place, bits)
+            text, which, count = counted(batch, word, len(place))
+            size = np.diff(first)[which]
+            here = grams[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first[which], size)]
+            both, inverse = np.unique(np.repeat(text, size) << bits | here, return_inverse=True)
+            total = np.bincount(text, size * count, batch.n)
+            in_text.append((both >> bits) + at)
+            index.append(both & ((1 << bits) - 1))
+            share.append(np.bincount(inverse, np.repeat(count, size)) / total[both >> bits])
+        at += batch.n
+    return np.concatenate(in_text), np.concatenate(index), np.concatenate(share)
 
 
 @dataclass(frozen=True)
@@ -112,73 +115,80 @@ class Model:
     bits: int = BITS
 
     def margins(self, batch: Batch) -> np.ndarray:
-        """Log odds that any word of a text is toxic."""
-        clean = np.full(batch.n, 1e-12)
+        """Log odds of the toxic class."""
+        out = np.full(batch.n, self.bias)
         if len(batch.begin):
             place, word = distinct_words(batch)
             index, first = subwords(batch, place, self.bits)
-            z = np.clip(means(self.effect[index].astype(np.float64), first) + self.bias, -30, 30)
-            text, which = pairs(batch, word, len(place))
-            clean = np.maximum(clean, np.bincount(text, weights=np.logaddexp(0, z)[which], minlength=batch.n))
-        return np.clip(clean + np.log(-np.expm1(-clean)), -CLEAR, CLEAR)
+            text, which, count = counted(batch, word, len(place))
+            effect = np.bincount(text, sums(self.effect[index].astype(np.float64), first)[which] * count, batch.n)
+            size = np.bincount(text, np.diff(first)[which] * count, batch.n)
+            out += effect / np.maximum(size, 1)
+        return out
 
     def scores(self, batch: Batch) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(batch) + self.shift, -30, 30)))
 
 
-def fit(texts: list[str | None], y: np.ndarray, share: float, bits: int = BITS, size: int = 12, rounds: int = 120, rate: float = 0.1, calm: float = 5e-4, least: int = 8, seed: int = 11) -> Model:
-    """y: 1 or 0 for each text; share: of label 1 among all labelled rows."""
+def fit(texts: list[str | None], y: np.ndarray, share: float, bits: int = BITS, **how) -> Model:
+    """y: 1 or 0 for each text; share: of label 1 among all labelled rows.
+
+    The logistic curve that turns margins into scores comes from margins of texts that the fit hasn't
+    seen: each half of the texts is scored by a fit on the other half.
+    """
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << bits, np.float32), 0.0, 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))) if len(y) else 0.0, bits)
-    index, first, text, which = vocabulary(texts, bits)
-    n_words, n_grams = len(first) - 1, np.diff(first)
-    owner = np.repeat(np.arange(n_words), n_grams)
-    # n-grams of fewer than ``least`` words of the sample's texts say nothing about others: their vectors stay zero
-    spread = np.bincount(index, weights=np.bincount(which, minlength=n_words)[owner], minlength=1 << bits)
-    live = np.flatnonzero(spread >= least)
+    fold, margin = np.arange(len(y)) % 2, np.zeros(len(y))
+    for k in (0, 1):
+        train = np.flatnonzero(fold != k)
+        if len(set(y[train].tolist())) == 2:
+            half = embed([texts[i] for i in train], y[train], bits, **how)
+            margin[fold == k] = np.concatenate([half.margins(Batch(some)) for some in split([texts[i] for i in np.flatnonzero(fold == k)])])
+    whole = embed(texts, y, bits, **how)
+    return Model(whole.effect, whole.bias, *logistic(margin, np.where(y == 1, 1.0, -1.0), share), bits)
+
+
+def embed(texts: list[str | None], y: np.ndarray, bits: int = BITS, size: int = 8, rounds: int = 100, rate: float = 1.0, calm: float = 1e-3, least: int = 8, seed: int = 11) -> Model:
+    """Vectors and softmax, trained jointly, without the curve; both labels must be there."""
+    text, index, share = bags(texts, bits)
+    # n-grams of fewer than ``least`` texts say nothing about others: their vectors stay zero
+    spread = np.bincount(index, minlength=1 << bits)
+    live = np.flatnonzero(spread >= min(least, len(y) // 2))
     slot = np.full(1 << bits, len(live), np.int64)
     slot[live] = np.arange(len(live))
     gram = slot[index]
+    kept = gram < len(live)
+    text, gram, share = text[kept], gram[kept], share[kept]
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.1, (len(live) + 1, size)).astype(np.float32)
-    vectors[-1] = 0
-    classes, bias = rng.normal(0, 0.3, (2, size)).astype(np.float32), np.zeros(2, np.float32)
-    bias[:] = (2.5, -2.5)  # at first few passages are toxic
+    vectors, classes, bias = rng.normal(0, 0.1, (len(live), size)), rng.normal(0, 0.3, (2, size)), np.zeros(2)
     params = [vectors, classes, bias]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
-    lr = rate
     for step in range(1, rounds + 1):
         delta = classes[1] - classes[0]
-        z = np.clip(means((vectors @ delta)[gram].astype(np.float64), first) + bias[1] - bias[0], -30, 30)
-        clean = np.bincount(text, weights=np.logaddexp(0, z)[which], minlength=len(y))  # -log of all words being clean
-        toxic = -np.expm1(-clean)
-        pull = np.where(y == 1, -(1 - toxic) / np.maximum(toxic, 1e-12), 1.0) * weight
-        per_word = np.bincount(which, weights=pull[text], minlength=n_words) / (1 + np.exp(-z))
-        bend = per_word.sum()
-        per_word /= n_grams
-        c = np.bincount(gram, weights=per_word[owner], minlength=len(live) + 1)
-        along = (c @ vectors).astype(np.float32)
-        grads = [np.outer(c, delta).astype(np.float32), np.stack((-along, along)) + 1e-4 * classes, np.array([-bend, bend], np.float32)]
-        grads[0][-1] = 0
+        z = np.bincount(text, (vectors @ delta)[gram] * share, len(y)) + bias[1] - bias[0]
+        pull = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
+        each = np.bincount(gram, pull[text] * share, len(live))
+        along = each @ vectors
+        grads = [np.outer(each, delta), np.stack((-along, along)), np.array([-pull.sum(), pull.sum()])]
         for q, g, (m, v) in zip(params, grads, moments, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            q -= lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + calm)
-        lr = rate * (1 - step / (rounds + 1))
+            q -= rate * (1 - (step - 1) / rounds) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + calm)
     effect = np.zeros(1 << bits, np.float32)
-    effect[live] = (vectors @ (classes[1] - classes[0]))[:-1]
-    raw = Model(effect, float(bias[1] - bias[0]), 1.0, 0.0, bits)
-    margin = np.concatenate([raw.margins(Batch(some)) for some in split(texts)])
-    return Model(effect, raw.bias, *logistic(margin, np.where(y == 1, 1.0, -1.0), share), bits)
+    effect[live] = vectors @ (classes[1] - classes[0])
+    return Model(effect, float(bias[1] - bias[0]), 1.0, 0.0, bits)
 
 
-def train(documents: DataFrame, labels: DataFrame, learn, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, **how) -> Model:
+def train(documents: DataFrame, labels: DataFrame, learn, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, most_chars: int = MOST_CHARS, **how) -> Model:
     """Fit on labelled rows whose id satisfies ``learn``, a function from a column to a condition."""
     sample, share = labelled(documents, labels, label, id_col, per_class, learn)
-    found = sample_texts(documents, sample, id_col, text_col).toArrow()
-    rows = sorted({(k, t or ""): y for k, t, y in zip(*(found.column(c).to_pylist() for c in ("doc_key", "text", "y")), strict=True)}.items())
-    return fit([t for (_, t), _ in rows], np.array([y for _, y in rows], dtype=float), share, **how)
+    found = sample_texts(documents, sample, id_col, text_col).where(F.coalesce(F.length("text"), F.lit(0)) <= most_chars // 10)
+    found = found.groupBy("doc_key").agg(F.min(F.struct("text", "y")).alias("m")).select("doc_key", "m.*")  # a row an id
+    sofar = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_key"), "doc_key"))
+    found = found.withColumn("sofar", sofar).where(F.col("sofar") <= most_chars).toArrow()
+    rows = sorted(zip(*(found.column(c).to_pylist() for c in ("doc_key", "text", "y")), strict=True), key=lambda r: r[0])
+    return fit([t for _, t, _ in rows], np.array([y for *_, y in rows], dtype=float), share, **how)
 
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,16 +198,13 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         for part, texts in pieces(batches, text_col):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(Batch(texts)))], [id_col, "score"])
 
-    return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(documents.dtypes)[id_col]}, score double")
+    return documents.select(F.col(quoted(id_col)), F.col(quoted(text_col))).mapInArrow(run, f"{quoted(id_col)} {dict(documents.dtypes)[id_col]}, score double")
 
 
 def reject(documents: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that score below the threshold, with all their columns, scored in the same pass."""
-    at, names = documents.columns.index(text_col), documents.columns
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, text_col):
             yield part.filter(pa.array(model.scores(Batch(texts)) < threshold))
 
-    assert names[at] == text_col
     return documents.mapInArrow(run, documents.schema)
