@@ -11,20 +11,26 @@ score from below. Then each goes outwards through the annuli whose gap is within
 bound and stops there: what lies further can't be among its k best. Scores are integers throughout;
 the bounds have slack for rounding.
 
-Pivots come from a bounded sample (``SAMPLE`` rows by a hash of the id); every row is indexed. There
-are at most ``PIVOTS x ANNULI`` annuli, whatever the number of rows, so their bounds are small enough
-to hand to all tasks. An annulus is stored in chunks of ``CHUNK`` vectors, dealt by a hash, so that a
-vector that a third of all rows share fills many chunks. Queries are a stated set; they run in blocks
-against the chunks.
-
-Vectors that are null, or hold a null or a non-finite component, take no part, neither do null ids.
-Shorter vectors count as padded with zeros. Repeated ids are each a candidate (but not of their own
-id). Quantised components must fit 32 bits and inner products 53; a larger one raises an error. Fewer
-candidates than k give them all; no query or no candidate gives no rows.
+Pivots come from a bounded sample (``SAMPLE`` rows by a hash of the id); every row is indexed. Pivots
+and annuli grow with the square root of the number of rows, from ``LEAST`` to ``MOST`` each, so that an
+annulus stays near ``CHUNK`` vectors up to a quarter of a billion rows, and their bounds, at most
+``MOST ** 2`` of them, small enough to hand to all tasks. An annulus is stored in chunks of about
+``CHUNK`` vectors, dealt by a hash of the id and the vector, so that neither a vector that a third of
+all rows share nor an id that does fills one. Queries are a stated set; they run in blocks against the
+chunks.
+
+Vectors that are null, or hold a null or a non-finite component (also one that 64 times it is), take no
+part, neither do null ids. Shorter vectors count as padded with zeros. Scores are exact at any size:
+where doubles could round, Python's integers take over; a score beyond 64 bits is given as the nearest
+64-bit one. Repeated ids are each a candidate (but not of their own id); a query id on several rows
+asks with all of them, and the best k of all their scores come under that id, a candidate once for each
+row that it meets. Fewer candidates than k give them all; no query or no candidate gives no rows. Columns
+other than the id and the vector are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,18 +40,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import Scratch, partitions
+from .shared import Scratch, partitions, quoted
 
-PIVOTS = 8
-ANNULI = 8
+#: Pivots, and annuli of each.
+LEAST, MOST = 8, 256
 SAMPLE = 4096
 CHUNK = 4096
 BLOCK = 256
+LOW, HIGH = -(2**63), 2**63 - 1
 
 
-def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int, float]:
-    """(vec_id, v) of the rows that take part, v the components as 32-bit integers; the longest length; the largest squared norm."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("e"))
+def grid(n: int, chunk: int = CHUNK) -> int:
+    """Pivots, and annuli of each, for n rows."""
+    return min(max(LEAST, math.ceil(math.sqrt(n / chunk))), MOST)
+
+
+def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
+    """(vec_id, v, most) of the rows that take part, v the components as whole doubles, most the largest magnitude; and the longest length."""
+    rows = vectors.select(F.col(quoted(id_col)).cast("long").alias("vec_id"), F.transform(F.col(quoted(vector_col)), lambda x: 64 * x.cast("double")).alias("e"))
     rows = rows.where("vec_id is not null and e is not null").where(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
     size = int(rows.agg(F.max(F.size("e")).alias("n")).first()["n"] or 0)
 
@@ -53,28 +65,47 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFra
         for batch in batches:
             lists = batch.column(1)
             length = np.diff(lists.offsets.to_numpy())
-            flat = np.floor(lists.flatten().to_numpy(zero_copy_only=False) * 64)
-            if len(flat) and np.abs(flat).max() >= 2**31 - 1:
-                raise ValueError("a quantised component exceeds 32 bits")
-            dense = np.zeros((len(length), size), "<i4")
-            dense[np.repeat(np.arange(len(length)), length), np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)] = flat
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in dense], pa.binary()), pa.array((dense.astype(np.float64) ** 2).sum(1))], ["vec_id", "v", "square"])
+            dense = np.zeros((len(length), max(size, 1)))
+            dense[np.repeat(np.arange(len(length)), length), np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)] = np.floor(lists.flatten().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in dense + 0.0], pa.binary()), pa.array(np.abs(dense).max(1))], ["vec_id", "v", "most"])
 
-    return rows.mapInArrow(pack, "vec_id long, v binary, square double"), size, 0.0
+    return rows.mapInArrow(pack, "vec_id long, v binary, most double"), max(size, 1)
 
 
 def unpack(column: pa.Array, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(-1, size).astype(np.float64)
+    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, size)
+
+
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of whole vectors as 64-bit integers, exact.
+
+    All partial sums of a product are within the product of the norms; below 2**53 a double holds them.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        a, b = (np.nan_to_num(np.sqrt((m * m).sum(1)), nan=np.inf) * (1 + 1e-12) for m in (q, x))
+        large = ~(np.outer(a, b) < 2.0**53)
+        out = np.where(large, 0, q @ x.T).astype(np.int64)
+    for i in np.flatnonzero(large.any(1)):
+        own = [int(c) for c in q[i]]
+        for j in np.flatnonzero(large[i]):
+            out[i, j] = min(max(sum(c * int(d) for c, d in zip(own, x[j].tolist(), strict=True)), LOW), HIGH)
+    return out
 
 
 class Layout:
-    """Pivots in the lengthened space, and the distances that part each pivot's annuli."""
+    """Pivots in the lengthened space, and the distances that part each pivot's annuli.
 
-    def __init__(self, pivots: np.ndarray, most: float):
-        self.pivots, self.most = pivots, most
-        self.edges = np.zeros((len(pivots), 0))
+    Lengths are in units of the largest component, so that no square leaves the doubles.
+    """
+
+    def __init__(self, unit: float, most: float):
+        self.unit, self.most = unit, most
+        self.pivots, self.edges = np.zeros((0, 1)), np.zeros((0, 0))
+        #: What rounding can add to a distance.
+        self.slack = 1e-6 * (math.sqrt(most) + 1 / unit)
 
     def distances(self, rows: np.ndarray, query: bool = False) -> np.ndarray:
+        rows = rows / self.unit
         square = (rows * rows).sum(1)
         last = np.zeros(len(rows)) if query else np.sqrt(np.maximum(self.most - square, 0))
         whole = square + last * last
@@ -84,6 +115,12 @@ class Layout:
     def annulus(self, pivot: np.ndarray, distance: np.ndarray) -> np.ndarray:
         return (self.edges[pivot] < distance[:, None]).sum(1)
 
+    def radius(self, queries: np.ndarray, floors: np.ndarray) -> np.ndarray:
+        """How far a vector that reaches the floor can be from each query; without a floor, any distance."""
+        rows = queries / self.unit
+        reach = np.sqrt(np.maximum((rows * rows).sum(1) + self.most - 2 * (floors.astype(np.float64) / self.unit / self.unit), 0)) * (1 + 1e-9) + 2 * self.slack
+        return np.where((floors == LOW) | (floors == HIGH), np.inf, reach)  # a floor at the end of 64 bits says nothing about distances
+
 
 def choose_pivots(rows: np.ndarray, most: float, n: int) -> np.ndarray:
     """Farthest-first from the sample, then three rounds of means."""
@@ -100,10 +137,10 @@ def choose_pivots(rows: np.ndarray, most: float, n: int) -> np.ndarray:
 
 
 def top(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each query's k best candidates that reach its floor; ties to the smaller id."""
+    """(row, column) of each query's k best candidates that reach its floor; ties to the smaller id. All integers."""
     ok = (scores >= floor[:, None]) & (ids[None, :] != own[:, None])
     row, column = np.nonzero(ok)
-    order = np.lexsort((ids[column], -scores[row, column], row))
+    order = np.lexsort((ids[column], ~scores[row, column], row))  # ~x falls as x rises, and fits 64 bits
     row, column = row[order], column[order]
     first = np.searchsorted(row, np.arange(len(own)))
     keep = np.arange(len(row)) - first[row] < k
@@ -138,24 +175,35 @@ def packed(rows: DataFrame, names: list[str], most: int) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{n} int" for n in names) + ", n int, ids binary, vectors binary, number long")
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, annuli: int = ANNULI, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None, annuli: int | None = None, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) of every query's k best candidates. ``is_query``: from the id column to a condition."""
+    found = visits(vectors, is_query, k, id_col, vector_col, pivots, annuli, chunk, block)
+    result = "query_id long, rank int, vec_id long, score long"
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], result)
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found[0].withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def visits(vectors: DataFrame, is_query, k: int, id_col: str, vector_col: str, pivots: int | None = None, annuli: int | None = None, chunk: int = CHUNK, block: int = BLOCK) -> tuple[DataFrame, DataFrame, int] | None:
+    """The best of each chunk that a query has to visit (query_id, vec_id, score); the visits (cell, queries, vectors there); the number of rows."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
-    rows, size, _ = quantised(vectors, id_col, vector_col)
+    rows, width = quantised(vectors, id_col, vector_col)
     rows = scratch.keep(rows)
-    result = "query_id long, rank int, vec_id long, score long"
-    most = rows.agg(F.max("square").alias("m")).first()["m"]
-    if most is None:
-        return spark.createDataFrame([], result)
-    if most >= 2**53:
-        raise ValueError("inner products exceed 53 bits")
+    found = rows.agg(F.max("most").alias("m"), F.count("*").alias("n")).first()
+    if not found["n"]:
+        return None
+    pivots, annuli, unit = pivots or grid(found["n"], chunk), annuli or grid(found["n"], chunk), max(found["m"], 1.0)
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([((unpack(batch.column(0), width) / unit) ** 2).sum(1).max()])], ["square"])
+
+    layout = Layout(unit, rows.select("v").mapInArrow(squares, "square double").agg(F.max("square")).first()[0])
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v").toArrow().column(0)
-    width = max(size, 1)
-    if size == 0:  # only empty vectors: all products are 0
-        rows = rows.withColumn("v", F.lit(b"\0\0\0\0"))
-        sample = pa.chunked_array([pa.array([b"\0\0\0\0"] * len(sample), pa.binary())])
-    layout = Layout(choose_pivots(unpack(sample, width), most, pivots), most)
+    layout.pivots = choose_pivots(unpack(sample, width) / unit, layout.most, pivots)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,62 +214,63 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
 
     keyed = scratch.keep(rows.select("vec_id", "v").mapInArrow(key, "vec_id long, v binary, pivot int, distance double"))
     parts = [i / annuli for i in range(1, annuli)]
-    edges = np.full((len(layout.pivots), annuli - 1), np.inf)
-    for r in keyed.groupBy("pivot").agg(F.percentile_approx("distance", parts, 1000).alias("at")).collect():  # a row a pivot
-        edges[r["pivot"]] = r["at"]
-    layout.edges = edges
-    # the same comparison as Layout.annulus, on the same numbers
-    at = F.array(*[F.array(*[F.lit(float(x)) for x in e]) for e in edges]) if annuli > 1 else None
-    annulus = F.size(F.filter(F.get(at, F.col("pivot")), lambda e: e < F.col("distance"))) if annuli > 1 else F.lit(0)
-    keyed = keyed.withColumn("annulus", annulus.cast("int"))
-    cells = {(r["pivot"], r["annulus"]): (r["low"], r["high"], r["n"]) for r in keyed.groupBy("pivot", "annulus").agg(F.min("distance").alias("low"), F.max("distance").alias("high"), F.count("*").alias("n")).collect()}  # pivots x annuli rows
-    n_chunks = F.create_map(*[x for (p, a), (_, _, n) in cells.items() for x in (F.lit(p * annuli + a), F.lit(-(-n // chunk)))])
-    cell = (F.col("pivot") * annuli + F.col("annulus")).cast("int")
-    dealt = keyed.select("vec_id", "v", cell.alias("cell")).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), n_chunks[F.col("cell")]).cast("int"))
-    chunks = packed(dealt.repartition(partitions(spark), "cell", "chunk").sortWithinPartitions("cell", "chunk"), ["cell", "chunk"], 2 * chunk)
-    chunks = scratch.keep(chunks)
-    asked = keyed.where(is_query(F.col("vec_id"))).select("vec_id", "v", "pivot", "annulus", F.lit(0).alias("none"))
-    asked = asked.repartition(partitions(spark), "pivot", F.pmod(F.xxhash64("vec_id"), F.lit(64))).sortWithinPartitions("pivot", "annulus")
-    blocks = scratch.keep(packed(asked.select("vec_id", "v", F.col("pivot").cast("int").alias("pivot")), ["pivot"], block))
-
-    order = sorted(cells)
-    low, high = np.array([cells[c][0] for c in order]), np.array([cells[c][1] for c in order])
-    pivot_of, number = np.array([p for p, _ in order]), np.array([p * annuli + a for p, a in order], np.int32)
+    layout.edges = np.full((len(layout.pivots), annuli - 1), np.inf)
+    if annuli > 1:
+        for r in keyed.groupBy("pivot").agg(F.percentile_approx("distance", parts, 1000).alias("at")).collect():  # a row a pivot
+            layout.edges[r["pivot"]] = r["at"]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                pivot = batch.column(2).to_numpy()
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((pivot * annuli + layout.annulus(pivot, batch.column(3).to_numpy())).astype(np.int32))], [*batch.schema.names, "cell"])
+
+    celled = keyed.mapInArrow(place, "vec_id long, v binary, pivot int, distance double, cell int")
+    cells = celled.groupBy("cell").agg(F.min("distance").alias("low"), F.max("distance").alias("high"), F.count("*").alias("n")).orderBy("cell").collect()  # pivots x annuli rows at most
+    number, low, high = np.array([c["cell"] for c in cells], np.int32), np.array([c["low"] for c in cells]), np.array([c["high"] for c in cells])
+    pivot_of = number // annuli
+    n_chunks = spark.createDataFrame([(c["cell"], -(-c["n"] // chunk)) for c in cells], "cell int, n_chunks long")
+    dealt = celled.select("vec_id", "v", "cell").join(F.broadcast(n_chunks), "cell").withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), "n_chunks").cast("int"))
+    chunks = scratch.keep(packed(dealt.repartition(partitions(spark), "cell", "chunk").sortWithinPartitions("cell", "chunk"), ["cell", "chunk"], 2 * chunk))
+    asked = celled.where(is_query(F.col("vec_id"))).select("vec_id", "v", "pivot", "cell")
+    asked = asked.repartition(partitions(spark), "pivot", F.pmod(F.xxhash64("vec_id", "v"), F.lit(64))).sortWithinPartitions("pivot", "cell")
+    blocks = scratch.keep(packed(asked.select("vec_id", "v", "pivot"), ["pivot"], block))
+
+    def gaps(queries: np.ndarray) -> np.ndarray:
+        """How near any vector of each cell can be to each query."""
+        distance = layout.distances(queries, query=True)[:, pivot_of]
+        return np.maximum(np.maximum(low - distance, distance - high), 0)
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, blob in zip(batch.column("ids").to_pylist(), batch.column("vectors").to_pylist(), strict=True):
-                distance = layout.distances(np.frombuffer(blob, "<i4").reshape(-1, width).astype(np.float64), query=True)
-                gap = np.maximum(np.maximum(low - distance[:, pivot_of], distance[:, pivot_of] - high), 0)
-                for c in np.unique(gap.argmin(1)):
+                for c in np.unique(gaps(np.frombuffer(blob, "<f8").reshape(-1, width)).argmin(1)):
                     yield pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([blob], pa.binary()), pa.array([number[c]])], ["qids", "queries", "cell"])
 
     def score(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    get = lambda n: batch.column(n)[i].as_py()  # noqa: B023, E731
-                    own, q = np.frombuffer(get("qids"), "<i8"), np.frombuffer(get("queries"), "<i4").reshape(-1, width).astype(np.float64)
-                    ids, x = np.frombuffer(get("ids"), "<i8"), np.frombuffer(get("vectors"), "<i4").reshape(-1, width).astype(np.float64)
-                    floor = np.full(len(own), -np.inf) if first else np.frombuffer(get("floors"), "<f8")
-                    scores = q @ x.T
+                    get = lambda n, kind: np.frombuffer(batch.column(n)[i].as_py(), kind)  # noqa: B023, E731
+                    own, q = get("qids", "<i8"), get("queries", "<f8").reshape(-1, width)
+                    ids, x = get("ids", "<i8"), get("vectors", "<f8").reshape(-1, width)
+                    floor = np.full(len(own), LOW) if first else get("floors", "<i8")
+                    scores = products(q, x)
                     a, b = top(scores, ids, own, k, floor)
                     if first:  # the k-th best, where there are k
                         full = np.bincount(a, minlength=len(own)) == k
-                        worst = np.full(len(own), np.inf)
+                        worst = np.full(len(own), HIGH)
                         np.minimum.at(worst, a, scores[a, b])
                         yield pa.RecordBatch.from_arrays([pa.array(own[full]), pa.array(worst[full])], ["query_id", "floor"])
                     else:
-                        yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(ids[b]), pa.array(scores[a, b].astype(np.int64))], ["query_id", "vec_id", "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(ids[b]), pa.array(scores[a, b])], ["query_id", "vec_id", "score"])
 
         return run
 
     met = blocks.mapInArrow(home, "qids binary, queries binary, cell int")
-    floors = met.join(chunks.where("chunk = 0").select("cell", "ids", "vectors"), "cell").mapInArrow(score(True), "query_id long, floor double").groupBy("query_id").agg(F.max("floor").alias("floor"))
+    floors = met.join(chunks.where("chunk = 0").select("cell", "ids", "vectors"), "cell").mapInArrow(score(True), "query_id long, floor long").groupBy("query_id").agg(F.max("floor").alias("floor"))
     # floors go back to their blocks: one row per query, gathered by block
     numbered = blocks.select(F.col("number").alias("b"), "ids", "vectors")
-    members = keyed.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id")).distinct()
-    known = scratch.keep(members.join(floors, "query_id", "left"))
 
     def split_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,22 +278,29 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
                 own = np.frombuffer(ids, "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), b)), pa.array(np.arange(len(own))), pa.array(own)], ["b", "i", "query_id"])
 
-    placed = numbered.select("b", "ids").mapInArrow(split_ids, "b long, i long, query_id long").join(known, "query_id", "left")
-    gathered = placed.groupBy("b").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "floor"))), lambda s: F.coalesce(s["floor"], F.lit(float("-inf")))).alias("floors"))
+    placed = numbered.select("b", "ids").mapInArrow(split_ids, "b long, i long, query_id long").join(floors, "query_id", "left")
+    gathered = placed.groupBy("b").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "floor"))), lambda s: F.coalesce(s["floor"], F.lit(LOW))).alias("floors"))
     ready = numbered.join(gathered, "b")
 
     def outwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, blob, floor in zip(batch.column("ids").to_pylist(), batch.column("vectors").to_pylist(), batch.column("floors").to_pylist(), strict=True):
-                q, floor = np.frombuffer(blob, "<i4").reshape(-1, width).astype(np.float64), np.array(floor, "<f8")
-                distance = layout.distances(q, query=True)
-                gap = np.maximum(np.maximum(low - distance[:, pivot_of], distance[:, pivot_of] - high), 0)
-                radius = np.sqrt(np.maximum((q * q).sum(1) + layout.most - 2 * floor, 0)) * (1 + 1e-9) + 1e-6
-                for c in np.flatnonzero((gap <= radius[:, None]).any(0)):
-                    some = gap[:, c] <= radius
-                    yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(ids, "<i8")[some].tobytes()], pa.binary()), pa.array([q[some].astype("<i4").tobytes()], pa.binary()), pa.array([floor[some].tobytes()], pa.binary()), pa.array([number[c]])], ["qids", "queries", "floors", "cell"])
+                q, floor = np.frombuffer(blob, "<f8").reshape(-1, width), np.array(floor, "<i8")
+                near = gaps(q) <= layout.radius(q, floor)[:, None]
+                for c in np.flatnonzero(near.any(0)):
+                    some = near[:, c]
+                    yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(ids, "<i8")[some].tobytes()], pa.binary()), pa.array([q[some].tobytes()], pa.binary()), pa.array([floor[some].tobytes()], pa.binary()), pa.array([number[c]])], ["qids", "queries", "floors", "cell"])
 
     work = ready.select("ids", "vectors", "floors").mapInArrow(outwards, "qids binary, queries binary, floors binary, cell int")
-    found = work.join(chunks.select("cell", "ids", "vectors"), "cell").mapInArrow(score(False), "query_id long, vec_id long, score long")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    pairs = work.join(chunks.select("cell", "n", "ids", "vectors"), "cell")
+    scored = pairs.select("qids", "queries", "floors", "ids", "vectors").mapInArrow(score(False), "query_id long, vec_id long, score long")
+    return scored, pairs.select("cell", (F.length("qids") / 8).cast("long").alias("queries"), "n"), found["n"]
+
+
+def share_visited(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> float:
+    """The share of all pairs of a query and a row that the index doesn't rule out."""
+    found = visits(vectors, is_query, k, id_col, vector_col, **how)
+    if found is None:
+        return 0.0
+    asked = vectors.where(F.col(quoted(id_col)).isNotNull()).where(is_query(F.col(quoted(id_col)))).count()
+    return float(found[1].agg(F.sum(F.col("queries") * F.col("n"))).first()[0] or 0) / max(asked * found[2], 1)
