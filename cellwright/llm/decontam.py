@@ -25,6 +25,7 @@ each. Columns other than ids, texts and answers are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Scratch, partitions, quoted
 from .textbatch import U64, Batch, pieces
 
 SPAN = 64
@@ -39,7 +41,15 @@ PASSAGE = 64
 BLOCK = 256
 #: A window full of other benchmark words still reaches this.
 COSINE = 0.12
+#: Terms in a larger share of all blocks have no weight in the latent space; the subsequence counts all words.
+COMMON = 0.02
 LCS = 0.6
+#: Passages of fewer words are leaks only where they stand word by word.
+SHORT = 8
+#: Directions of the latent space, and further ones that steady its computation.
+RANK, EXTRA = 256, 64
+#: Blocks of benchmark passages that one pass over the corpus looks for.
+AT_ONCE = 4
 #: Low bits of a word's hash; most words are no term, and few pass this.
 SIEVE = U64((1 << 17) - 1)
 
@@ -58,6 +68,14 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
+def stands(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether a is a run of b."""
+    at = np.flatnonzero(b[: max(len(b) - len(a) + 1, 0)] == a[0])
+    for j in range(1, len(a)):
+        at = at[b[at + j] == a[j]]
+    return bool(len(at))
+
+
 def damped(count: np.ndarray) -> np.ndarray:
     """1 + ln(count), 0 for 0: a word that repeats over and over must not drown the others."""
     return np.where(count > 0, 1 + np.log(np.maximum(count, 1)), 0).astype(np.float32)
@@ -88,7 +106,7 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, answer_co
     """The benchmark, a block of passages at a time."""
     names = [id_col, text_col, *([answer_col] if answer_col else [])]
     held: list = []
-    for row in benchmark.select(*names).orderBy(id_col).toLocalIterator():
+    for row in benchmark.select(*[F.col(quoted(n)) for n in names]).orderBy(F.col(quoted(id_col))).toLocalIterator():
         words = Batch([row[1]]).words()
         answer = np.unique(Batch([row[2]]).words()) if answer_col else np.empty(0, U64)
         if len(words):
@@ -149,10 +167,14 @@ def weights(texts: DataFrame, queries: Queries, common: float) -> tuple[np.ndarr
     return np.where(keep, np.maximum(idf, 1e-3), 0).astype(np.float32), n
 
 
-def latent(texts: DataFrame, queries: Queries, idf: np.ndarray, seed: int = 5, extra: int = 32) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the TF-IDF passages of corpus and benchmark."""
-    size = len(queries.terms)
-    width = min(size, len(queries.passages) + 2 * extra)
+def latent(texts: DataFrame, queries: Queries, idf: np.ndarray, seed: int = 5, rank: int = RANK, extra: int = EXTRA) -> np.ndarray:
+    """Right singular vectors (terms x rank) of the TF-IDF passages of corpus and benchmark.
+
+    The sketch is as large as the terms of a block times rank + extra. As many tasks as the session's
+    shuffle partitions make one each, and a level of as many sums as their root brings them together.
+    """
+    size, tasks = len(queries.terms), partitions(texts.sparkSession)
+    width = min(size, rank + extra)
     test = np.random.default_rng(seed).normal(size=(size, width)).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +212,7 @@ def latent(texts: DataFrame, queries: Queries, idf: np.ndarray, seed: int = 5, e
 
     schema = "trace double, total binary"
     total, trace = np.zeros((size, width)), 0.0
-    for row in texts.mapInArrow(run, schema).repartition(4).mapInArrow(add, schema).toLocalIterator():  # four sums
+    for row in texts.coalesce(tasks).mapInArrow(run, schema).repartition(math.isqrt(tasks) + 1).mapInArrow(add, schema).toLocalIterator():  # a sum at a time
         trace += row["trace"]
         total += np.frombuffer(row["total"], np.float32).reshape(size, width)
     own = queries.weights * idf
@@ -202,8 +224,7 @@ def latent(texts: DataFrame, queries: Queries, idf: np.ndarray, seed: int = 5, e
     value, vector = np.linalg.eigh((inner + inner.T) / 2)
     good = value > value[-1] * 1e-7
     left, spectrum, _ = np.linalg.svd(total @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)
-    rank = min(len(queries.passages) + extra, int((spectrum > spectrum[0] * 1e-4).sum()))
-    return left[:, :rank].astype(np.float32)
+    return left[:, : min(rank, int((spectrum > spectrum[0] * 1e-4).sum()))].astype(np.float32)
 
 
 class Searcher:
@@ -264,51 +285,75 @@ class Searcher:
                 begin = batch.first[doc] + (b - blocks.first[doc]) * SPAN
                 inside = words[begin : min(begin + 2 * SPAN, batch.first[doc + 1])]
                 _, passage, answer = self.queries.passages[q]
-                share = common_subsequence(passage, inside) / len(passage)
+                share = common_subsequence(passage, inside) / len(passage) if len(passage) >= SHORT else float(stands(passage, inside))
                 if share >= self.lcs and np.isin(answer, inside).all():
                     out.append((int(doc), int(q), float(cosine[w, q]), share, int(begin - batch.first[doc])))
         return out
 
 
-def searchers(documents: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, answer_col: str | None, common: float, cosine: float, lcs: float) -> list[Searcher]:
-    texts, out = documents.select(F.col(text_col).alias("text")), []
+def searchers(documents: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, answer_col: str | None, common: float, cosine: float, lcs: float) -> Iterator[list[Searcher]]:
+    """For each block of the benchmark a searcher, ``AT_ONCE`` together."""
+    texts, held = documents.select(F.col(quoted(text_col)).alias("text")), []
     for queries in benchmark_blocks(benchmark, item_col, item_text_col, answer_col):
         idf, _ = weights(texts, queries, common)
-        out.append(Searcher(queries, idf, latent(texts, queries, idf), cosine, lcs))
-    return out
+        held.append(Searcher(queries, idf, latent(texts, queries, idf), cosine, lcs))
+        if len(held) == AT_ONCE:
+            yield held
+            held = []
+    if held:
+        yield held
+
 
+def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, common: float = COMMON, cosine: float = COSINE, lcs: float = LCS) -> DataFrame:
+    """(id, item_id, cosine, share, first_word) of every document and item that it has a passage of; the best window each.
 
-def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, common: float = 0.02, cosine: float = COSINE, lcs: float = LCS) -> DataFrame:
-    """(id, item_id, cosine, share, first_word) of every document and item that it has a passage of; the best window each."""
-    found = searchers(documents, benchmark, text_col, item_col, item_text_col, answer_col, common, cosine, lcs)
+    An item of several passages may come from passages of different blocks: then it comes once for each
+    ``AT_ONCE`` blocks that found it.
+    """
     item_type = benchmark.schema[item_col].dataType.simpleString()
     arrow = pa.int64() if item_type in ("bigint", "int", "smallint", "tinyint") else pa.string()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches):
-            batch, best = Batch(texts), {}
-            for s in found:
-                for doc, q, c, share, word in s.find(batch):
-                    key = doc, s.queries.passages[q][0]
-                    best[key] = max(best.get(key, (-1.0, 0.0, 0)), (share, c, -word))
-            rows = sorted(best)
-            ids = part.column(0).take(pa.array([d for d, _ in rows], pa.int64()))
-            best = [best[k] for k in rows]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([i if arrow == pa.int64() else str(i) for _, i in rows], arrow), pa.array([b[1] for b in best], pa.float64()), pa.array([b[0] for b in best], pa.float64()), pa.array([-b[2] for b in best], pa.int64())], ["doc", "item", "cosine", "share", "first_word"])
-
-    out = documents.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, f"doc {dict(documents.dtypes)[id_col]}, item {'long' if arrow == pa.int64() else 'string'}, cosine double, share double, first_word long")
+    schema = f"doc {dict(documents.dtypes)[id_col]}, item {'long' if arrow == pa.int64() else 'string'}, cosine double, share double, first_word long"
+    texts = documents.select(F.col(quoted(id_col)).alias("doc"), F.col(quoted(text_col)).alias("text"))
+
+    def search(found: list[Searcher]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, some in pieces(batches):
+                batch, best = Batch(some), {}
+                for s in found:
+                    for doc, q, c, share, word in s.find(batch):
+                        key = doc, s.queries.passages[q][0]
+                        best[key] = max(best.get(key, (-1.0, 0.0, 0)), (share, c, -word))
+                rows = sorted(best)
+                ids = part.column(0).take(pa.array([d for d, _ in rows], pa.int64()))
+                best = [best[k] for k in rows]
+                yield pa.RecordBatch.from_arrays([ids, pa.array([i if arrow == pa.int64() else str(i) for _, i in rows], arrow), pa.array([b[1] for b in best], pa.float64()), pa.array([b[0] for b in best], pa.float64()), pa.array([-b[2] for b in best], pa.int64())], ["doc", "item", "cosine", "share", "first_word"])
+
+        return texts.mapInArrow(run, schema)
+
+    out, scratch = None, Scratch(documents.sparkSession, "leaks")
+    for found in searchers(documents, benchmark, text_col, item_col, item_text_col, answer_col, common, cosine, lcs):
+        if out is not None:  # more than AT_ONCE blocks: written, so that no task holds more of them
+            out = scratch.keep(out).unionByName(scratch.keep(search(found)))
+        else:
+            out = search(found)
+    out = documents.sparkSession.createDataFrame([], schema) if out is None else out
     return out.withColumnsRenamed({"doc": id_col, "item": item_col})
 
 
-def without_leaks(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, common: float = 0.02, cosine: float = COSINE, lcs: float = LCS) -> DataFrame:
+def without_leaks(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, common: float = COMMON, cosine: float = COSINE, lcs: float = LCS) -> DataFrame:
     """The rows of ``documents`` that have no passage of the benchmark, with all their columns."""
-    found = searchers(documents, benchmark, text_col, item_col, item_text_col, answer_col, common, cosine, lcs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches, text_col):
-            batch, keep = Batch(texts), np.ones(len(texts), bool)
-            for s in found:
-                keep[[doc for doc, *_ in s.find(batch)]] = False
-            yield part.filter(pa.array(keep))
+    def search(rows: DataFrame, found: list[Searcher]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, texts in pieces(batches, text_col):
+                batch, keep = Batch(texts), np.ones(len(texts), bool)
+                for s in found:
+                    keep[[doc for doc, *_ in s.find(batch)]] = False
+                yield part.filter(pa.array(keep))
 
-    return documents.mapInArrow(run, documents.schema)
+        return rows.mapInArrow(run, rows.schema)
+
+    out, scratch = documents, Scratch(documents.sparkSession, "leaks")
+    for i, found in enumerate(searchers(documents, benchmark, text_col, item_col, item_text_col, answer_col, common, cosine, lcs)):
+        out = search(scratch.keep(out) if i else out, found)
+    return out
