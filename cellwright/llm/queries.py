@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -149,6 +151,49 @@ select query_id, rank::int as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 20
 """
 
+_GAP = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_ASCII = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+
+
+def _words(text: str) -> list[str]:
+    return re.findall(_GAP, "".join(c.lower() if c in string.ascii_uppercase else c for c in text))
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+# A template's blocks are the runs of twice its words that start at every multiple of them; four fifths of its set must be there.
+ORACLES["op2_license_scan"] = f"""
+with docs as (select row_number() over () as rid, doc_id, regexp_extract_all({_ASCII}, '{_GAP}') as ws from documents),
+phrases(p, label) as (values {", ".join(f"({_list(_words(p))}, '{label}')" for p, label in licenses.PHRASES.items())}),
+templates(n, own, label) as (values {", ".join(f"({len(_words(t))}, {_list(sorted(set(_words(t))))}, '{label}')" for label, t in licenses.TEMPLATES)}),
+starts as (select rid, label, unnest(list_filter(generate_series(0, len(ws) - len(p)), lambda i: ws[i + 1 : i + len(p)] = p)) as word from docs, phrases where len(ws) >= len(p)),
+base as (select rid, count(*) as n_base, min(word) as first_word, max(word) as last_word, list(distinct label) as found from starts group by rid),
+runs as (select rid, ws, n, own, label, unnest(generate_series(0, len(ws) - 1, n)) as a from docs, templates where len(ws) > 0),
+shared as (select rid, label, len(own) as size, len(list_intersect(own, ws[a + 1 : a + 2 * n])) as hits from runs),
+blocks as (select rid, max(hits / size::double) as score, list(distinct label) as found from shared where 5 * hits >= 4 * size group by rid)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(base.found), ','), '') as base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.found, []), coalesce(blocks.found, [])))), ','), '') as labels,
+  case when n_base > 0 then 1e0 else coalesce(blocks.score, 0e0) end as score
+from docs left join base using (rid) left join blocks using (rid)
+"""
+
+# Every pair of documents that share a shingle, by exact Jaccard similarity, and what hangs together by such links.
+ORACLES["op5_ngram_jaccard"] = f"""
+with recursive docs as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_GAP}') as ws from documents),
+sets as (select doc_id, list_distinct(case when len(ws) >= 5 then list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i : i + 4], ' '))
+  when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as s from docs),
+tokens as (select doc_id, len(s) as n, unnest(s) as token from sets),
+links as (select a.doc_id as a, b.doc_id as b from tokens a join tokens b on a.token = b.token and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 9 * count(*) >= 4 * (a.n + b.n)),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join links l on r.b = l.a),
+class as (select a, min(b) as class_id from reach group by a),
+degree as (select a, count(*) as n_links from links group by a)
+select doc_id, class_id, coalesce(n_links, 0)::bigint as n_links from documents join class on class.a = doc_id left join degree on degree.a = doc_id
+"""
+
 _CONTROLS = "".join(f", '{c}', '{c[0]}\\{c[1:]}')" for c in chat.CONTROLS)
 _ESCAPED = "replace(" * (len(chat.CONTROLS) + 1) + "{}, '\\', '\\\\')" + _CONTROLS
 
