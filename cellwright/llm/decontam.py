@@ -46,8 +46,8 @@ COMMON = 0.02
 LCS = 0.6
 #: Passages of fewer words are leaks only where they stand word by word.
 SHORT = 8
-#: Directions of the latent space, and further ones that steady its computation.
-RANK, EXTRA = 256, 64
+#: Directions of the latent space, more than a block has passages, and further ones that steady its computation.
+RANK, EXTRA = 288, 32
 #: Blocks of benchmark passages that one pass over the corpus looks for.
 AT_ONCE = 4
 #: Low bits of a word's hash; most words are no term, and few pass this.
