@@ -5,24 +5,31 @@ has one, all its words; a line without words has none and always stays. Two line
 Jaccard similarity of their token sets is at least 0.8. A line that matches an earlier one goes, also
 if that one goes too. Earlier: smaller id (nulls first), then the text's hash, then line number.
 
-1. Lines with the same words fold into one with partial aggregates: their first place, however many
-   there are. All but the first go.
-2. Tokens are counted over the whole corpus in ``2**BUCKETS`` buckets of their hash, a table of
+1. Tokens are counted over the whole corpus in ``2**BUCKETS`` buckets of their hash, a table of
    bounded size, and ordered by the magnitude of that count, then by hash. Any fixed order makes the
    prefix filter exact; this one puts what many lines share last. A token is known by that number,
    with 47 bits of its hash: two tokens of compared lines are taken for one with chance 2**-47.
+2. Lines with the same words fold into one with partial aggregates: their first place, however many
+   there are. All but the first go. The folded lines are numbered in the order of their places.
 3. A line's prefix is its n - ceil(0.8 n) + 1 first tokens: matching lines share one of them.
-4. For each prefix token, lines are first joined with the earliest line that has it, not with one
+4. For each prefix token, lines are first paired with the earliest line that has it, not with one
    another; length and position filters, then the full sets, decide. Of a large group of near copies
    most are settled by that. More rounds may take the earliest line not settled; what is left after
    ``ROUNDS`` rounds meets all other earlier lines of its tokens. So no match is lost, and a group of
    copies doesn't become pairs.
+5. The earliest line of a token comes from a window over the token's lines. A token in a bucket of over
+   ``HOT`` times the mean count, of which alone a window could grow large, goes another way: a partial
+   minimum, then a join whose hot keys Spark splits. All other joins are such joins too.
 
-Tokens are hashed by numpy over Arrow batches: as expressions over arrays the same work took four
-times the CPU time allowed (README). All joins, counts and filters are DataFrame operations.
+Tokens are hashed by numpy over Arrow batches, in three passes over the texts. As expressions over
+arrays the same work doesn't keep the limits on CPU time and disk (README). All joins, counts, windows
+and filters are DataFrame operations.
 
 Rows that agree in id and text are one row repeated and get the same result each. Null texts have no
-lines and stay null. Other columns are kept as they are.
+lines and stay null, with 0 lines; an empty text has one line, which stays. A line of any length is
+one array, never cut. An empty table gives an empty table. Other columns, whatever their names, are
+kept as they are; where one is called ``n_lines`` or ``n_removed``, the added one is called
+``n_lines_2`` or ``n_removed_2``, and so on.
 """
 
 from __future__ import annotations
@@ -35,12 +42,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .shared import Scratch
-from .textbatch import U64, Batch, pieces, shingled
+from .shared import Scratch, bound, free, quoted
+from .textbatch import U64, Batch, mix, pieces, shingled
 
 BUCKETS = 16
 ROUNDS = 1
+HOT = 8
+#: Bits of the map of wanted lines at most, and of one of its pages.
+MAP_BITS, PAGE_BITS = 26, 19
 
 
 class Lines:
@@ -61,7 +72,7 @@ class Lines:
 def ranked(words: np.ndarray, first: np.ndarray, k: int, magnitude: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct tokens of every line as order numbers, ascending, and where each line's start (total appended).
 
-    A token's number, of 53 bits, is the magnitude of its bucket, then 47 bits of its hash. The line
+    A token's number, of 53 bits, is the magnitude of its bucket's count, then 47 bits of its hash. The line
     stands in the 11 bits above, so that one plain sort orders the tokens of 2,048 lines.
     """
     tokens, at = shingled(words, first, k)
@@ -78,8 +89,8 @@ def ranked(words: np.ndarray, first: np.ndarray, k: int, magnitude: np.ndarray,
     return np.concatenate(found), np.concatenate(([0], np.cumsum(size)))
 
 
-def magnitudes(texts: DataFrame, k: int, buckets: int) -> np.ndarray:
-    """Binary digits of each bucket's count of tokens, over all texts."""
+def bucket_counts(texts: DataFrame, k: int, buckets: int) -> np.ndarray:
+    """How many tokens of all texts fall into each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << buckets, np.int64)
@@ -93,7 +104,7 @@ def magnitudes(texts: DataFrame, k: int, buckets: int) -> np.ndarray:
     counts = np.zeros(1 << buckets, np.int64)
     for row in texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most 2**buckets rows
         counts[row["bucket"]] = row["n"]
-    return np.array([int(n).bit_length() for n in counts], U64)
+    return counts
 
 
 def lists(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -102,6 +113,11 @@ def lists(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values[index].view(np.int64)))
 
 
+def printed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(quoted(text_col))
+    return documents.select(F.col(quoted(id_col)).alias("doc"), F.xxhash64(text).alias("print"), text.alias("text"))
+
+
 def described(documents: DataFrame, id_col: str, text_col: str, k: int, threshold: tuple[int, int], magnitude: np.ndarray, buckets: int) -> DataFrame:
     """(doc, print, line, key, size, prefix) of every line that has words."""
     up, down = threshold
@@ -119,51 +135,100 @@ def described(documents: DataFrame, id_col: str, text_col: str, k: int, threshol
                 ["doc", "print", "line", "key", "size", "prefix"],
             )
 
-    source = documents.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"doc {dict(documents.dtypes)[id_col]}, print long, line int, key binary, size int, prefix array<long>")
+    return printed(documents, id_col, text_col).mapInArrow(run, f"doc {dict(documents.dtypes)[id_col]}, print long, line int, key binary, size int, prefix array<long>")
+
 
+def spots(print_: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A hash of each line's place but for the id."""
+    return mix(print_.view(U64) + line.astype(U64) * U64(0x9E3779B97F4A7C15))
 
-def token_sets(texts: DataFrame, keys: DataFrame, k: int, magnitude: np.ndarray, buckets: int) -> DataFrame:
-    """(id, tokens) of the lines in ``keys`` (key, id). A bit map of the keys, of bounded size, keeps other lines from being sent."""
-    n = keys.count()
-    bits = min(max(16, (16 * n).bit_length()), 26)
-    place = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << bits) - 1)
-    words = keys.select(place.alias("p")).select(F.shiftright("p", 5).alias("w"), F.expr("shiftleft(1L, cast(p & 31 as int))").alias("one")).groupBy("w").agg(F.bit_or("one").alias("b"))
-    table = np.zeros(1 << bits - 5, np.uint32)
-    for row in words.collect():  # at most 2**21 rows
-        table[row["w"]] = row["b"]
+
+def map_of(places: DataFrame, bits: int) -> np.ndarray:
+    """A bit map of the places by their hash, made on the executors in pages; the driver gets each page once."""
+    size = 1 << min(bits, PAGE_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, some in pieces(batches):
+        table = np.zeros(1 << bits, bool)
+        for batch in batches:
+            table[(spots(batch.column(0).to_numpy(), batch.column(1).to_numpy()) & U64((1 << bits) - 1)).astype(np.int64)] = True
+        pages = table.reshape(-1, size)
+        some = np.flatnonzero(pages.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([np.packbits(pages[i]).tobytes() for i in some], pa.binary())], ["page", "bits"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for page, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found[page] = found.get(page, 0) | np.frombuffer(blob, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([b.tobytes() for b in found.values()], pa.binary())], ["page", "bits"])
+
+    table = np.zeros((1 << bits) // 8, np.uint8).reshape(-1, size // 8)
+    pages = places.select("print", "line").mapInArrow(run, "page int, bits binary").repartition("page").mapInArrow(join, "page int, bits binary")
+    for row in pages.toLocalIterator():  # 2**MAP_BITS bits at most
+        table[row["page"]] = np.frombuffer(row["bits"], np.uint8)
+    return table.ravel()
+
+
+def token_sets(documents: DataFrame, id_col: str, text_col: str, places: DataFrame, k: int, magnitude: np.ndarray, buckets: int) -> DataFrame:
+    """(id, tokens) of the lines at ``places`` (id, doc, print, line); as often as the line's row is repeated.
+
+    A bit map of the places, of bounded size, keeps most other lines from being sent.
+    """
+    bits = min(max(16, (64 * places.count()).bit_length()), MAP_BITS)
+    table = map_of(places, bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, some in pieces(batches):
             lines = Lines(some)
             has = np.flatnonzero(np.diff(lines.first))
-            mine = lines.keys(has)
-            at = np.array([int.from_bytes(m[:4], "big") for m in mine], np.int64) & (1 << bits) - 1
-            hit = np.flatnonzero(table[at >> 5] >> (at & 31).astype(np.uint32) & 1)
-            once = list({mine[i]: i for i in hit.tolist()}.values())
-            begin, count = lines.first[has[np.array(once, np.int64)]], np.diff(lines.first)[has[np.array(once, np.int64)]]
+            at = (spots(part.column(1).to_numpy()[lines.text[has]], lines.number[has]) & U64((1 << bits) - 1)).astype(np.int64)
+            which = has[np.flatnonzero(table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)]
+            begin, count = lines.first[which], np.diff(lines.first)[which]
             start = np.concatenate(([0], np.cumsum(count)))
             words = lines.words[np.arange(start[-1]) - np.repeat(start[:-1] - begin, count)]
             number, at_line = ranked(words, start, k, magnitude, buckets)
-            yield pa.RecordBatch.from_arrays([pa.array([mine[i] for i in once], pa.binary()), lists(number, at_line[:-1], np.diff(at_line))], ["key", "tokens"])
+            text = pa.array(lines.text[which])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(text), part.column(1).take(text), pa.array(lines.number[which].astype(np.int32)), lists(number, at_line[:-1], np.diff(at_line))], ["doc", "print", "line", "tokens"])
+
+    return at_place(printed(documents, id_col, text_col).mapInArrow(run, f"doc {dict(documents.dtypes)[id_col]}, print long, line int, tokens array<long>"), places)
+
+
+def with_pivots(each: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(token, id, size, pos, other, osize, opos) of the rows (token, id, size, pos) whose token an earlier line has; ``other`` is the earliest."""
+    limit = int(HOT * counts.sum() / len(counts)).bit_length() + 1 << 47
+    own = ["token", "id", "size", "pos"]
+    w = Window.partitionBy("token").orderBy("id")
+    cold = each.where(F.col("token") < limit).select(*own, *[F.first(c).over(w).alias(o) for c, o in (("id", "other"), ("size", "osize"), ("pos", "opos"))])
+    hot = each.where(F.col("token") >= limit).select(*own)
+    pivot = hot.groupBy("token").agg(F.min("id").alias("other"), F.max("id").alias("last")).where("other <> last").select("token", "other")
+    met = hot.join(pivot, "token")
+    place = met.where("id = other").select("token", F.col("size").alias("osize"), F.col("pos").alias("opos")).dropDuplicates(["token"])
+    return cold.where("id <> other").unionByName(met.where("id <> other").join(place, "token"))
+
+
+def at_place(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """``rows`` at the places (id, doc, print, line), with their ids."""
+    p = places.select("id", F.col("doc").alias("d"), F.col("print").alias("p"), F.col("line").alias("l"))
+    return rows.join(p, F.col("doc").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")) & (F.col("line") == F.col("l"))).select("id", *[c for c in rows.columns if c not in ("doc", "print", "line")])
+
+
+def meets(up: int, down: int) -> Column:
+    """Whether two lines that share a token can match: by their lengths, and by the tokens from the shared one on."""
+    least = F.ceil((F.col("size") + F.col("osize")) * F.lit(up) / F.lit(up + down))
+    lengths = (F.col("size") * down >= F.col("osize") * up) & (F.col("osize") * down >= F.col("size") * up)
+    return lengths & (F.least(F.col("size") - F.col("pos"), F.col("osize") - F.col("opos")) >= least)
+
 
-    sent = texts.mapInArrow(run, "key binary, tokens array<long>")
-    return sent.join(keys, "key").groupBy("id").agg(F.first("tokens").alias("tokens"))
+def others(member: DataFrame) -> DataFrame:
+    return member.select("token", F.col("id").alias("other"), F.col("size").alias("osize"), F.col("pos").alias("opos"))
 
 
-def verified(pairs: DataFrame, folded: DataFrame, texts: DataFrame, scratch: Scratch, share: tuple[int, int], k: int, magnitude: np.ndarray, buckets: int) -> DataFrame:
-    """The ids of ``pairs`` (id, other) whose token sets are similar. Only lines of pairs have their sets sent."""
-    up, down = share
-    pairs = scratch.keep(pairs)
-    ids = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
-    keys = scratch.keep(folded.select("key", "id").join(ids, "id"))
-    sets = scratch.keep(token_sets(texts, keys, k, magnitude, buckets))
+def similar(pairs: DataFrame, sets: DataFrame, up: int, down: int) -> DataFrame:
+    """The ids of ``pairs`` (id, other) whose token sets are similar."""
     one = sets.select("id", F.col("tokens").alias("a"))
     two = sets.select(F.col("id").alias("other"), F.col("tokens").alias("b"))
-    both = pairs.join(one, "id").join(two, "other").withColumn("n", F.size(F.array_intersect("a", "b")))
-    out = scratch.keep(both.where(F.col("n") * (up + down) >= F.lit(up) * (F.size("a") + F.size("b"))).select("id").distinct())
-    scratch.drop(pairs, keys, sets)
-    return out
+    shared = F.size(F.array_intersect("a", "b"))
+    return pairs.join(one, "id").join(two, "other").where(shared * (up + down) >= F.lit(up) * (F.size("a") + F.size("b"))).select("id").distinct()
 
 
 def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5), shingle: int = 5, buckets: int = BUCKETS, rounds: int = ROUNDS) -> DataFrame:
@@ -172,54 +237,65 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     threshold: the similarity as numerator and denominator.
     """
     up, down = threshold
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "line-dedup")
-    texts = documents.select(F.col(text_col).alias("text"))
-    magnitude = magnitudes(texts, shingle, buckets)
+    scratch = Scratch(documents.sparkSession, "line-dedup")
+    texts = documents.select(F.col(quoted(text_col)).alias("text"))
+    counts = bucket_counts(texts, shingle, buckets)
+    magnitude = np.array([int(n).bit_length() for n in counts], U64)
     lines = scratch.keep(described(documents, id_col, text_col, shingle, threshold, magnitude, buckets))
-    place = F.struct(F.col("doc").isNotNull().alias("known"), "doc", "print", "line")
-    folded = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    folded = scratch.keep(folded.withColumn("id", F.monotonically_increasing_id()))  # fixed by being written
-
-    each = folded.select("id", "size", F.posexplode("prefix").alias("pos", "token"))
-    shared = scratch.keep(each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
-    rows = scratch.keep(each.join(shared, "token"))
-    rows = scratch.keep(rows.join(folded.select("id", "first"), "id"))
-    similar = lambda pairs: verified(pairs, folded, texts, scratch, threshold, shingle, magnitude, buckets)
-
-    def meets(a: str, b: str) -> Column:
-        least = F.ceil((F.col(f"{a}size") + F.col(f"{b}size")) * F.lit(up) / F.lit(up + down))
-        lengths = (F.col(f"{a}size") * down >= F.col(f"{b}size") * up) & (F.col(f"{b}size") * down >= F.col(f"{a}size") * up)
-        rest = F.least(F.col(f"{a}size") - F.col(f"{a}pos"), F.col(f"{b}size") - F.col(f"{b}pos"))
-        return lengths & (rest >= least)
-
-    settled, open_rows, pivots = [], rows, []
-    for i in range(rounds):
-        pivot = scratch.keep(open_rows.groupBy("token").agg(F.min(F.struct("first", "id", "size", "pos")).alias("p")).select("token", F.col("p.id").alias("other"), F.col("p.first").alias("ofirst"), F.col("p.size").alias("osize"), F.col("p.pos").alias("opos")))
-        pairs = open_rows.join(pivot, "token").where(F.col("first") > F.col("ofirst")).where(meets("", "o")).select("id", "other").distinct()
-        settled.append(similar(pairs))
-        pivots.append(pivot)
-        if i + 1 < rounds:  # a pivot isn't settled: it goes on to the last step as the later line, but is a pivot once
-            past = pivot.select("token", F.col("other").alias("id"))
-            open_rows = scratch.keep(open_rows.join(settled[-1], "id", "left_anti").join(past, ["token", "id"], "left_anti"))
+    place = F.struct("doc", "print", "line")
+    folded = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).orderBy("first")
+    folded = scratch.keep(folded.select(F.monotonically_increasing_id().alias("id"), "key", "first.*", "n"))  # fixed by being written
+
+    prefix = scratch.keep(at_place(lines.select("doc", "print", "line", "size", "prefix"), folded))  # a repeated row's lines stand more than once
+    keys = scratch.keep(lines.select("doc", "print", "line", "key"))
+    scratch.drop(lines)
+    rows = scratch.keep(with_pivots(prefix.select("id", "size", F.posexplode("prefix").alias("pos", "token")), counts))
+    scratch.drop(prefix)
+    # lines of pairs that can match, and lines of tokens that two lines beside the earliest have: one pass for both steps
+    pairs = rows.where(meets(up, down)).select("id", "other")
+    crowded = rows.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("token")
+    wanted = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).unionByName(rows.join(crowded, "token").select("id")).distinct()
+    places = scratch.keep(folded.select("id", "doc", "print", "line").join(wanted, "id"))
+    sets = scratch.keep(token_sets(documents, id_col, text_col, places, shingle, magnitude, buckets))
+    if sets.count() > places.count():  # of repeated rows
+        sets = scratch.keep(sets.dropDuplicates(["id"]))
+    scratch.drop(places)
+
+    member = rows.select("token", "id", "size", "pos").distinct()
+    settled, left = [scratch.keep(similar(pairs.distinct(), sets, up, down))], member
+    for _ in range(rounds - 1):  # a pivot isn't settled: it goes on to the last step as the later line, but is a pivot once
+        left = left.join(settled[-1], "id", "left_anti")
+        pivot = left.groupBy("token").agg(F.min("id").alias("other"))
+        pairs = left.join(pivot.join(others(left), ["token", "other"]), "token").where("id <> other").where(meets(up, down))
+        settled.append(scratch.keep(similar(pairs.select("id", "other").distinct(), sets, up, down)))
+        left = scratch.keep(left.join(pivot.withColumnRenamed("other", "id"), ["token", "id"], "left_anti"))
     near = functools.reduce(DataFrame.unionByName, settled).distinct()
     # what no pivot settled meets every other earlier line of its tokens
-    others = rows.join(pivots[0].select("token", F.col("other").alias("id")), ["token", "id"], "left_anti")
-    late = others.join(near, "id", "left_anti")
-    earlier = others.select("token", F.col("id").alias("other"), F.col("first").alias("ofirst"), F.col("size").alias("osize"), F.col("pos").alias("opos"))
-    pairs = late.join(earlier, "token").where(F.col("first") > F.col("ofirst")).where(meets("", "o")).select("id", "other").distinct()
-    rest = similar(pairs)
-    done = near.unionByName(rest)  # without overlap: late lines are those not near
-
-    # all places of a settled key go, and of other keys all but the first
-    gone = folded.select("id", "key", "first", "n").join(done.withColumn("settled", F.lit(True)), "id", "left").where("n > 1 or settled").select("key", "first", F.coalesce("settled", F.lit(False)).alias("settled"))
-    out = lines.select("doc", "print", "line", "key", place.alias("place")).join(gone, "key").where(F.col("settled") | (F.col("place") != F.col("first")))
-    out = scratch.keep(out.groupBy("doc", "print").agg(F.array_sort(F.collect_set("line")).alias("gone")))
-    scratch.drop(shared, rows, folded, lines, rest, *pivots, *settled)
-
-    marked = documents.withColumn("_print", F.xxhash64(text_col))
-    joined = marked.join(out.withColumnsRenamed({"doc": "_doc", "print": "_p", "gone": "_gone"}), F.col("_print").eqNullSafe(F.col("_p")) & F.col(id_col).eqNullSafe(F.col("_doc")), "left")
-    split = F.split(text_col, "\n", -1)
-    left = F.filter(split, lambda _, i: ~F.array_contains(F.col("_gone"), i))
-    joined = joined.withColumn("_text", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
-    return joined.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in documents.columns], F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    late = member.join(near, "id", "left_anti")
+    scratch.drop()
+    pairs = late.join(others(member), "token").where("id > other").where(meets(up, down)).select("id", "other").distinct()
+    settled.append(scratch.keep(similar(pairs, sets, up, down)))
+    scratch.drop(rows, sets, left)
+    done = functools.reduce(DataFrame.unionByName, settled).distinct()
+
+    # all places of a settled line go, and of other lines all but the first
+    gone = folded.join(done.withColumn("settled", F.lit(True)), "id", "left").where("n > 1 or settled")
+    gone = gone.select("key", F.struct("doc", "print", "line").alias("first"), F.coalesce("settled", F.lit(False)).alias("settled"))
+    out = keys.join(gone, "key").where(F.col("settled") | (place != F.col("first")))
+    out = scratch.keep(out.groupBy("doc", "print").agg(F.collect_set("line").alias("gone")))
+    scratch.drop(folded, keys, *settled)
+    return without(documents, out, id_col, text_col)
+
+
+def without(documents: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``documents`` without the lines in ``gone`` (doc, print, gone: their numbers)."""
+    taken = documents.columns
+    n_lines, n_removed = free("n_lines", taken), free("n_removed", taken)
+    mark, doc, print_, lost = (free(n, [*taken, n_lines, n_removed]) for n in ("mark", "doc", "print", "gone"))
+    text, out = F.col(quoted(text_col)), gone.select(F.col("doc").alias(doc), F.col("print").alias(print_), F.col("gone").alias(lost))
+    marked = documents.withColumn(mark, F.xxhash64(text))
+    joined = marked.join(out, (F.col(mark) == F.col(print_)) & F.col(quoted(id_col)).eqNullSafe(F.col(doc)), "left")
+    split = F.split(text, "\n", -1)
+    kept = bound(split, lambda s: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(s) - 1), F.col(lost)), lambda i: F.get(s, i)), "\n"))
+    new = F.when(F.col(lost).isNull(), text).otherwise(kept)
+    return joined.select(*[new.alias(c) if c == text_col else F.col(quoted(c)) for c in taken], F.coalesce(F.size(split), F.lit(0)).cast("long").alias(n_lines), F.coalesce(F.size(lost), F.lit(0)).cast("long").alias(n_removed))
