@@ -86,9 +86,21 @@ def split(texts: list[str | None], most: int = CHUNK_CHARS) -> list[list[str | N
     return out
 
 
-def bags(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct n-grams of each text: the text, the n-gram's index, and its share of the text's bag."""
-    in_text, index, share, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)], 0
+@dataclass
+class Bag:
+    """Some texts' n-grams: the text and the index of each, and its share of the text's bag; 12 bytes each."""
+
+    text: np.ndarray
+    index: np.ndarray
+    share: np.ndarray
+
+    def where(self, mask: np.ndarray) -> Bag:
+        return Bag(self.text[mask], self.index[mask], self.share[mask])
+
+
+def bags(texts: list[str | None], bits: int) -> list[Bag]:
+    """The distinct n-grams of each text, some texts at a time; a text is whole in one of them."""
+    out, at = [], 0
     for some in split(texts):
         batch = Batch(some)
         if len(batch.begin):
@@ -99,11 +111,10 @@ def bags(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, np
             here = grams[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first[which], size)]
             both, inverse = np.unique(np.repeat(text, size) << bits | here, return_inverse=True)
             total = np.bincount(text, size * count, batch.n)
-            in_text.append((both >> bits) + at)
-            index.append(both & ((1 << bits) - 1))
-            share.append(np.bincount(inverse, np.repeat(count, size)) / total[both >> bits])
+            share = np.bincount(inverse, np.repeat(count, size)) / total[both >> bits]
+            out.append(Bag((both >> bits).astype(np.int32) + np.int32(at), (both & ((1 << bits) - 1)).astype(np.int32), share.astype(np.float32)))
         at += batch.n
-    return np.concatenate(in_text), np.concatenate(index), np.concatenate(share)
+    return out
 
 
 @dataclass(frozen=True)
@@ -138,37 +149,41 @@ def fit(texts: list[str | None], y: np.ndarray, share: float, bits: int = BITS,
     """
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << bits, np.float32), 0.0, 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))) if len(y) else 0.0, bits)
-    fold, margin = np.arange(len(y)) % 2, np.zeros(len(y))
+    bag, fold, margin = bags(texts, bits), np.arange(len(y)) % 2, np.zeros(len(y))
     for k in (0, 1):
-        train = np.flatnonzero(fold != k)
-        if len(set(y[train].tolist())) == 2:
-            half = embed([texts[i] for i in train], y[train], bits, **how)
-            margin[fold == k] = np.concatenate([half.margins(Batch(some)) for some in split([texts[i] for i in np.flatnonzero(fold == k)])])
-    whole = embed(texts, y, bits, **how)
+        if len(set(y[fold != k].tolist())) == 2:
+            half = embed(bag, y, fold != k, bits, **how)
+            z = np.full(len(y), half.bias)
+            for b in bag:
+                z += np.bincount(b.text, half.effect[b.index] * b.share, len(y))
+            margin[fold == k] = z[fold == k]
+    whole = embed(bag, y, np.ones(len(y), bool), bits, **how)
     return Model(whole.effect, whole.bias, *logistic(margin, np.where(y == 1, 1.0, -1.0), share), bits)
 
 
-def embed(texts: list[str | None], y: np.ndarray, bits: int = BITS, size: int = 8, rounds: int = 100, rate: float = 1.0, calm: float = 1e-3, least: int = 8, seed: int = 11) -> Model:
-    """Vectors and softmax, trained jointly, without the curve; both labels must be there."""
-    text, index, share = bags(texts, bits)
+def embed(bag: list[Bag], y: np.ndarray, learn: np.ndarray, bits: int = BITS, size: int = 8, rounds: int = 100, rate: float = 1.0, calm: float = 1e-3, least: int = 8, seed: int = 11) -> Model:
+    """Vectors and softmax, trained jointly on the texts in ``learn``, which have both labels; without the curve."""
+    mine = [b.where(learn[b.text]) for b in bag]
     # n-grams of fewer than ``least`` texts say nothing about others: their vectors stay zero
-    spread = np.bincount(index, minlength=1 << bits)
-    live = np.flatnonzero(spread >= min(least, len(y) // 2))
-    slot = np.full(1 << bits, len(live), np.int64)
+    spread = sum((np.bincount(b.index, minlength=1 << bits) for b in mine), np.zeros(1 << bits, np.int64))
+    live = np.flatnonzero(spread >= min(least, learn.sum() // 2))
+    slot = np.full(1 << bits, len(live), np.int32)
     slot[live] = np.arange(len(live))
-    gram = slot[index]
-    kept = gram < len(live)
-    text, gram, share = text[kept], gram[kept], share[kept]
+    mine = [Bag(b.text, slot[b.index], b.share).where(slot[b.index] < len(live)) for b in mine]
     rng = np.random.default_rng(seed)
     vectors, classes, bias = rng.normal(0, 0.1, (len(live), size)), rng.normal(0, 0.3, (2, size)), np.zeros(2)
     params = [vectors, classes, bias]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    weight = np.where(learn, np.where(y == 1, 0.5 / (learn & (y == 1)).sum(), 0.5 / (learn & (y == 0)).sum()), 0)
     for step in range(1, rounds + 1):
         delta = classes[1] - classes[0]
-        z = np.bincount(text, (vectors @ delta)[gram] * share, len(y)) + bias[1] - bias[0]
+        effect, z = (vectors @ delta).astype(np.float32), np.full(len(y), bias[1] - bias[0])
+        for b in mine:
+            z += np.bincount(b.text, effect[b.index] * b.share, len(y))
         pull = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        each = np.bincount(gram, pull[text] * share, len(live))
+        near, each = pull.astype(np.float32), np.zeros(len(live))
+        for b in mine:
+            each += np.bincount(b.index, near[b.text] * b.share, len(live))
         along = each @ vectors
         grads = [np.outer(each, delta), np.stack((-along, along)), np.array([-pull.sum(), pull.sum()])]
         for q, g, (m, v) in zip(params, grads, moments, strict=True):
