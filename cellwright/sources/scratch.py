@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+REST = 5.0
+_collected = [0.0]
 _own: dict[str, str] = {}
 _open: list[Scratch] = []
 
@@ -49,13 +52,15 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Removes tables, and lets Spark remove the shuffle files of finished steps: it does so when the
-        driver's JVM collects the plans that made them, and not before.
+        driver's JVM collects the plans that made them, and not before. Asked for once in ``REST`` seconds at most.
         """
         for df in tables:
             if path := getattr(df, "_kept_at", None):
                 self.remove(path)
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        if time.monotonic() - _collected[0] > REST:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            _collected[0] = time.monotonic()
 
     def remove(self, path: str | None = None) -> None:
         try:
