@@ -7,7 +7,8 @@ if that one goes too. Earlier: smaller id (nulls first), then the text's hash, t
 
 1. Tokens are counted over the whole corpus in ``2**BUCKETS`` buckets of their hash, a table of
    bounded size, and ordered by the magnitude of that count, then by hash. Any fixed order makes the
-   prefix filter exact; this one puts what many lines share last. A token is known by that number,
+   prefix filter exact; this one puts what many lines share last, if it is more than a bucket's chance
+   share: so there are many buckets, as pairs grow with the square of what isn't told apart. A token is known by that number,
    with 47 bits of its hash: two tokens of compared lines are taken for one with chance 2**-47.
 2. Lines with the same words fold into one with partial aggregates: their first place, however many
    there are. All but the first go. The folded lines are numbered in the order of their places.
@@ -18,7 +19,7 @@ if that one goes too. Earlier: smaller id (nulls first), then the text's hash, t
    ``ROUNDS`` rounds meets all other earlier lines of its tokens. So no match is lost, and a group of
    copies doesn't become pairs.
 5. The earliest line of a token comes from a window over the token's lines. A token in a bucket of over
-   ``HOT`` times the mean count, of which alone a window could grow large, goes another way: a partial
+   ``HOT`` times the mean count (or ``LEAST``, if that is more), of which alone a window could grow large, goes another way: a partial
    minimum, then a join whose hot keys Spark splits. All other joins are such joins too.
 
 Tokens are hashed by numpy over Arrow batches, in three passes over the texts. As expressions over
@@ -47,11 +48,13 @@ from pyspark.sql.window import Window
 from .shared import Scratch, bound, free, quoted
 from .textbatch import U64, Batch, mix, pieces, shingled
 
-BUCKETS = 16
+BUCKETS = 22
 ROUNDS = 1
-HOT = 8
+HOT, LEAST = 8, 128
 #: Bits of the map of wanted lines at most, and of one of its pages.
 MAP_BITS, PAGE_BITS = 26, 19
+#: Bits of a page of counts.
+COUNT_BITS = 14
 
 
 class Lines:
@@ -76,7 +79,7 @@ def ranked(words: np.ndarray, first: np.ndarray, k: int, magnitude: np.ndarray,
     stands in the 11 bits above, so that one plain sort orders the tokens of 2,048 lines.
     """
     tokens, at = shingled(words, first, k)
-    number = magnitude[(tokens & U64((1 << buckets) - 1)).astype(np.int64)] << U64(47) | tokens >> U64(17)
+    number = magnitude[(tokens & U64((1 << buckets) - 1)).astype(np.int64)].astype(U64) << U64(47) | tokens >> U64(17)
     low, found, size = U64((1 << 53) - 1), [np.empty(0, U64)], np.zeros(len(at) - 1, np.int64)
     for start in range(0, len(at) - 1, 2048):
         stop = min(start + 2048, len(at) - 1)
@@ -89,22 +92,40 @@ def ranked(words: np.ndarray, first: np.ndarray, k: int, magnitude: np.ndarray,
     return np.concatenate(found), np.concatenate(([0], np.cumsum(size)))
 
 
-def bucket_counts(texts: DataFrame, k: int, buckets: int) -> np.ndarray:
-    """How many tokens of all texts fall into each bucket."""
+def bucket_counts(texts: DataFrame, k: int, buckets: int) -> tuple[np.ndarray, float]:
+    """The magnitude (bits) of how many tokens of all texts fall into each bucket, and the mean count.
+
+    Tasks send their counts in pages, as narrow as a page's numbers allow; executors add them up, and the
+    driver gets a byte a bucket.
+    """
+    size = 1 << min(buckets, COUNT_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << buckets, np.int64)
+        total = np.zeros(1 << buckets, np.uint32)
         for _, some in pieces(batches):
             lines = Lines(some)
             tokens, _ = shingled(lines.words, lines.first, k)
-            total += np.bincount((tokens & U64((1 << buckets) - 1)).astype(np.int64), minlength=len(total))
-        here = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(total[here])], ["bucket", "n"])
+            np.add.at(total, (tokens & U64((1 << buckets) - 1)).astype(np.int64), np.uint32(1))
+        pages = total.reshape(-1, size)
+        here = np.flatnonzero(pages.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.array([pages[i].astype(np.min_scalar_type(pages[i].max())).tobytes() for i in here], pa.binary())], ["page", "counts"])
 
-    counts = np.zeros(1 << buckets, np.int64)
-    for row in texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most 2**buckets rows
-        counts[row["bucket"]] = row["n"]
-    return counts
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for page, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                here = found.setdefault(page, np.zeros(size, np.int64))
+                here += np.frombuffer(blob, f"u{len(blob) // size}")
+        for page, counts in found.items():
+            bits = np.frexp(counts.astype(float))[1].astype(np.uint8)  # as int.bit_length
+            yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([bits.tobytes()], pa.binary()), pa.array([int(counts.sum())])], ["page", "bits", "n"])
+
+    magnitude, total = np.zeros((1 << buckets) // size * size, np.uint8).reshape(-1, size), 0
+    pages = texts.mapInArrow(run, "page int, counts binary").repartition("page").mapInArrow(add, "page int, bits binary, n long")
+    for row in pages.collect():  # 2**buckets bytes at most
+        magnitude[row["page"]] = np.frombuffer(row["bits"], np.uint8)
+        total += row["n"]
+    return magnitude.ravel(), total / (1 << buckets)
 
 
 def lists(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -179,23 +200,24 @@ def token_sets(documents: DataFrame, id_col: str, text_col: str, places: DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, some in pieces(batches):
-            lines = Lines(some)
-            has = np.flatnonzero(np.diff(lines.first))
-            at = (spots(part.column(1).to_numpy()[lines.text[has]], lines.number[has]) & U64((1 << bits) - 1)).astype(np.int64)
-            which = has[np.flatnonzero(table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)]
-            begin, count = lines.first[which], np.diff(lines.first)[which]
-            start = np.concatenate(([0], np.cumsum(count)))
-            words = lines.words[np.arange(start[-1]) - np.repeat(start[:-1] - begin, count)]
-            number, at_line = ranked(words, start, k, magnitude, buckets)
-            text = pa.array(lines.text[which])
-            yield pa.RecordBatch.from_arrays([part.column(0).take(text), part.column(1).take(text), pa.array(lines.number[which].astype(np.int32)), lists(number, at_line[:-1], np.diff(at_line))], ["doc", "print", "line", "tokens"])
+            lines = [(t or "").split("\n") for t in some]
+            count = np.fromiter(map(len, lines), np.int64, len(lines))
+            text = np.repeat(np.arange(len(lines)), count)
+            line = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+            at = (spots(part.column(1).to_numpy()[text], line) & U64((1 << bits) - 1)).astype(np.int64)
+            which = np.flatnonzero(table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+            text, line = text[which], line[which]
+            batch = Batch([lines[i][j] for i, j in zip(text.tolist(), line.tolist(), strict=True)])  # no other line is hashed
+            number, at_line = ranked(batch.words(), batch.first, k, magnitude, buckets)
+            own = pa.array(text)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(line.astype(np.int32)), lists(number, at_line[:-1], np.diff(at_line))], ["doc", "print", "line", "tokens"])
 
     return at_place(printed(documents, id_col, text_col).mapInArrow(run, f"doc {dict(documents.dtypes)[id_col]}, print long, line int, tokens array<long>"), places)
 
 
-def with_pivots(each: DataFrame, counts: np.ndarray) -> DataFrame:
+def with_pivots(each: DataFrame, mean: float) -> DataFrame:
     """(token, id, size, pos, other, osize, opos) of the rows (token, id, size, pos) whose token an earlier line has; ``other`` is the earliest."""
-    limit = int(HOT * counts.sum() / len(counts)).bit_length() + 1 << 47
+    limit = int(HOT * max(mean, LEAST)).bit_length() + 1 << 47
     own = ["token", "id", "size", "pos"]
     w = Window.partitionBy("token").orderBy("id")
     cold = each.where(F.col("token") < limit).select(*own, *[F.first(c).over(w).alias(o) for c, o in (("id", "other"), ("size", "osize"), ("pos", "opos"))])
@@ -239,8 +261,7 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     up, down = threshold
     scratch = Scratch(documents.sparkSession, "line-dedup")
     texts = documents.select(F.col(quoted(text_col)).alias("text"))
-    counts = bucket_counts(texts, shingle, buckets)
-    magnitude = np.array([int(n).bit_length() for n in counts], U64)
+    magnitude, mean = bucket_counts(texts, shingle, buckets)
     lines = scratch.keep(described(documents, id_col, text_col, shingle, threshold, magnitude, buckets))
     place = F.struct("doc", "print", "line")
     folded = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).orderBy("first")
@@ -249,7 +270,7 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prefix = scratch.keep(at_place(lines.select("doc", "print", "line", "size", "prefix"), folded))  # a repeated row's lines stand more than once
     keys = scratch.keep(lines.select("doc", "print", "line", "key"))
     scratch.drop(lines)
-    rows = scratch.keep(with_pivots(prefix.select("id", "size", F.posexplode("prefix").alias("pos", "token")), counts))
+    rows = scratch.keep(with_pivots(prefix.select("id", "size", F.posexplode("prefix").alias("pos", "token")), mean))
     scratch.drop(prefix)
     # lines of pairs that can match, and lines of tokens that two lines beside the earliest have: one pass for both steps
     pairs = rows.where(meets(up, down)).select("id", "other")

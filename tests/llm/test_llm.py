@@ -500,6 +500,18 @@ def test_line_dedup_against_brute_force(spark):
         assert sorted(map(str, line_dedup.dedup_lines(docs(spark, texts)).collect())) == sorted(map(str, rounds[0]))
 
 
+def test_line_dedup_of_passages_that_few_lines_share(spark, monkeypatch):
+    """Tokens of five lines in some 560,000 are told from those of one: the lines aren't compared."""
+    rng = np.random.default_rng(3)
+    word = rng.choice([f"w{i}" for i in range(50_000)], (10_000, 60))
+    word[:, 20:34] = np.repeat(word[::5, 20:34], 5, 0)
+    texts = ["\n".join(" ".join(w) for w in word[i : i + 200]) for i in range(0, 10_000, 200)]
+    seen, plain = [], line_dedup.similar
+    monkeypatch.setattr(line_dedup, "similar", lambda pairs, *rest: seen.append(pairs.count()) or plain(pairs, *rest))
+    got = line_dedup.dedup_lines(docs(spark, texts)).collect()
+    assert sum(r["n_removed"] for r in got) == 0 and sum(seen) < 100
+
+
 # --- search ---
 
 
