@@ -335,3 +335,15 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(len(r["violations"]) for r in spark.table("seen").collect()) == [0, 1]
+
+
+def test_features_and_clusters_plan_constants_as_literals(spark):
+    """Scaled vectors read what was written: no join, no sum is planned again, and constants are one literal."""
+    rows = spark.createDataFrame([(i, f"word{i % 5} {i}", "x" * (i % 3)) for i in range(40)], "row_id long, a string, b string")
+    vectors, names = features.column_features(rows, "a", "row_id")
+    plan = vectors._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "from_json" not in plan and len(vectors.first()["vec"]) == len(names)
+    points = spark.createDataFrame([(1, [0.0, 0.1]), (2, [5.0, 1e-7]), (3, [2.5, 0.0])], "row_id long, vec array<double>")
+    found = clustering.assign(points, [[0.0, 0.1], [5.0, 1e-7]], "row_id")
+    assert "from_json" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.orderBy("row_id").collect()] == [(1, 0, 0.0), (2, 1, 0.0), (3, 1, 2.5)]
