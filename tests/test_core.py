@@ -347,3 +347,11 @@ def test_features_and_clusters_plan_constants_as_literals(spark):
     found = clustering.assign(points, [[0.0, 0.1], [5.0, 1e-7]], "row_id")
     assert "from_json" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in found.orderBy("row_id").collect()] == [(1, 0, 0.0), (2, 1, 0.0), (3, 1, 2.5)]
+
+
+def test_propagation_sends_clusters_not_assignments(spark):
+    points = spark.range(300).selectExpr("id as row_id", "array(double(id % 7), 1.0D) as vec")
+    spread = clustering.LabelPropagator({"a": points}, "row_id", clustering.SeededCentroids(3, 1))
+    out = spread.propagate(spark.createDataFrame([(0, "a", True)], "row_id long, column string, is_error boolean"))
+    join = [x for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "BroadcastHashJoin" in x][0]
+    assert "BuildRight" in join and out.count() == 300
