@@ -1,30 +1,26 @@
-"""Line deduplication by an exact set-similarity join.
+"""Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
 A line's tokens are its five-word shingles (words as in ``textbatch``); a line of one to four words
 has one, all its words; a line without words has none and always stays. Two lines match if the
 Jaccard similarity of their token sets is at least 0.8. A line that matches an earlier one goes, also
 if that one goes too. Earlier: smaller id (nulls first), then the text's hash, then line number.
 
-1. Tokens are counted over the whole corpus in ``2**BUCKETS`` buckets of their hash, a table of
-   bounded size, and ordered by the magnitude of that count, then by hash. Any fixed order makes the
-   prefix filter exact; this one puts what many lines share last, if it is more than a bucket's chance
-   share: so there are many buckets, as pairs grow with the square of what isn't told apart. A token is known by that number,
-   with 47 bits of its hash: two tokens of compared lines are taken for one with chance 2**-47.
+1. A line's words become 8 bytes each, end to end; a token is the 64-bit hash of 40 of these bytes, so two
+   tokens of compared lines are taken for one with chance 2**-62.
 2. Lines with the same words fold into one with partial aggregates: their first place, however many
    there are. All but the first go. The folded lines are numbered in the order of their places.
-3. A line's prefix is its n - ceil(0.8 n) + 1 first tokens: matching lines share one of them.
+3. A line's prefix is its n - ceil(0.8 n) + 1 first tokens: matching lines share one of them. Any fixed
+   order of tokens makes that exact. Here it is the hash, but tokens that many lines share come last
+   (``frequent``): prefixes are counted in buckets, the tokens of full buckets one by one, and only lines
+   with such a token get a new prefix.
 4. For each prefix token, lines are first paired with the earliest line that has it, not with one
-   another; length and position filters, then the full sets, decide. Of a large group of near copies
-   most are settled by that. More rounds may take the earliest line not settled; what is left after
-   ``ROUNDS`` rounds meets all other earlier lines of its tokens. So no match is lost, and a group of
+   another; length and position filters, then what both prefixes share (``close``), then the full sets, decide. Of
+   a large group of near copies most are settled by that. More rounds may take the earliest line not settled; what is
+   left after ``ROUNDS`` rounds meets all other earlier lines of its tokens. So no match is lost, and a group of
    copies doesn't become pairs.
-5. The earliest line of a token comes from a window over the token's lines. A token in a bucket of over
-   ``HOT`` times the mean count (or ``LEAST``, if that is more), of which alone a window could grow large, goes another way: a partial
-   minimum, then a join whose hot keys Spark splits. All other joins are such joins too.
-
-Tokens are hashed by numpy over Arrow batches, in three passes over the texts. As expressions over
-arrays the same work doesn't keep the limits on CPU time and disk (README). All joins, counts, windows
-and filters are DataFrame operations.
+5. The earliest line of a token comes from a window over the token's lines. A frequent token, of which alone a
+   window could grow large, goes another way: a partial minimum, then a join whose hot keys Spark splits. All
+   other joins are such joins too.
 
 Rows that agree in id and text are one row repeated and get the same result each. Null texts have no
 lines and stay null, with 0 lines; an empty text has one line, which stays. A line of any length is
@@ -36,102 +32,45 @@ kept as they are; where one is called ``n_lines`` or ``n_removed``, the added on
 from __future__ import annotations
 
 import functools
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import Scratch, bound, free, quoted
-from .textbatch import U64, Batch, mix, pieces, shingled
 
+#: Buckets of the count of prefix tokens, as a power of two, at most.
 BUCKETS = 22
 ROUNDS = 1
-HOT, LEAST = 8, 128
-#: Bits of the map of wanted lines at most, and of one of its pages.
-MAP_BITS, PAGE_BITS = 26, 19
-#: Bits of a page of counts.
-COUNT_BITS = 14
+#: A token is frequent in over HOT times the lines a bucket has on average, or LEAST if that is more.
+HOT, LEAST = 8, 32
+#: Added to a frequent token, and the least of the sums; the others lie below.
+LATE, FIRST_LATE = 1 << 62, 1 << 61
+#: What ASCII has between words, but for the space and the newline; single characters are one lookup for the regex.
+GAPS = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum() and chr(c) not in " \n" or chr(c).isupper()) + "]+"
 
 
-class Lines:
-    """The lines of a batch of texts: where each one's words start, its text and its number there."""
+def plain(text: Column) -> Column:
+    """Lower-cased words with spaces between them; newlines stay."""
+    return F.regexp_replace(F.lower(text), GAPS, " ")
 
-    def __init__(self, texts: list[str | None]):
-        self.batch = Batch(texts)
-        self.words = self.batch.words()
-        start = np.concatenate(([0], np.flatnonzero(self.batch.codes == 10) + 1))
-        self.first = np.searchsorted(self.batch.begin, start)
-        self.text = np.searchsorted(self.batch.offset, start[:-1], "right") - 1
-        self.number = np.arange(len(self.text)) - np.searchsorted(start[:-1], self.batch.offset[:-1])[self.text]
 
-    def keys(self, which: np.ndarray) -> list[bytes]:
-        return [hashlib.blake2b(self.words[self.first[i] : self.first[i + 1]].tobytes(), digest_size=16).digest() for i in which.tolist()]
+def hashed(content: Column) -> Column:
+    """Eight bytes a word of a plain line. The sign bit is set, so that all have 16 digits."""
+    words = F.array_remove(F.split(content, " "), "")
+    return F.unhex(F.array_join(F.transform(words, lambda w: F.hex(F.xxhash64(w).bitwiseOR(F.lit(-(1 << 63))))), ""))
 
 
-def ranked(words: np.ndarray, first: np.ndarray, k: int, magnitude: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct tokens of every line as order numbers, ascending, and where each line's start (total appended).
+def tokens(words: Column, k: int) -> Column:
+    """The distinct tokens of a line in ascending order, from its ``hashed`` words (at least one)."""
+    last = F.length(words) - 8 * k + 1
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(8)), lambda i: F.xxhash64(F.substr(words, i, F.lit(8 * k))))
+    return F.when(last < 1, F.array(F.xxhash64(words))).otherwise(F.sort_array(F.array_distinct(runs)))
 
-    A token's number, of 53 bits, is the magnitude of its bucket's count, then 47 bits of its hash. The line
-    stands in the 11 bits above, so that one plain sort orders the tokens of 2,048 lines.
-    """
-    tokens, at = shingled(words, first, k)
-    number = magnitude[(tokens & U64((1 << buckets) - 1)).astype(np.int64)].astype(U64) << U64(47) | tokens >> U64(17)
-    low, found, size = U64((1 << 53) - 1), [np.empty(0, U64)], np.zeros(len(at) - 1, np.int64)
-    for start in range(0, len(at) - 1, 2048):
-        stop = min(start + 2048, len(at) - 1)
-        line = np.repeat(np.arange(stop - start, dtype=U64), np.diff(at[start : stop + 1])) << U64(53)
-        some = np.sort(number[at[start] : at[stop]] | line)
-        if len(some):
-            some = some[np.concatenate(([True], some[1:] != some[:-1]))]
-        size[start:stop] = np.bincount((some >> U64(53)).astype(np.int64), minlength=stop - start)
-        found.append(some & low)
-    return np.concatenate(found), np.concatenate(([0], np.cumsum(size)))
-
-
-def bucket_counts(texts: DataFrame, k: int, buckets: int) -> tuple[np.ndarray, float]:
-    """The magnitude (bits) of how many tokens of all texts fall into each bucket, and the mean count.
-
-    Tasks send their counts in pages, as narrow as a page's numbers allow; executors add them up, and the
-    driver gets a byte a bucket.
-    """
-    size = 1 << min(buckets, COUNT_BITS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << buckets, np.uint32)
-        for _, some in pieces(batches):
-            lines = Lines(some)
-            tokens, _ = shingled(lines.words, lines.first, k)
-            np.add.at(total, (tokens & U64((1 << buckets) - 1)).astype(np.int64), np.uint32(1))
-        pages = total.reshape(-1, size)
-        here = np.flatnonzero(pages.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.array([pages[i].astype(np.min_scalar_type(pages[i].max())).tobytes() for i in here], pa.binary())], ["page", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for page, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                here = found.setdefault(page, np.zeros(size, np.int64))
-                here += np.frombuffer(blob, f"u{len(blob) // size}")
-        for page, counts in found.items():
-            bits = np.frexp(counts.astype(float))[1].astype(np.uint8)  # as int.bit_length
-            yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([bits.tobytes()], pa.binary()), pa.array([int(counts.sum())])], ["page", "bits", "n"])
-
-    magnitude, total = np.zeros((1 << buckets) // size * size, np.uint8).reshape(-1, size), 0
-    pages = texts.mapInArrow(run, "page int, counts binary").repartition("page").mapInArrow(add, "page int, bits binary, n long")
-    for row in pages.collect():  # 2**buckets bytes at most
-        magnitude[row["page"]] = np.frombuffer(row["bits"], np.uint8)
-        total += row["n"]
-    return magnitude.ravel(), total / (1 << buckets)
-
-
-def lists(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
-    at = np.concatenate(([0], np.cumsum(size)))
-    index = np.arange(at[-1]) - np.repeat(at[:-1] - begin, size)
-    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values[index].view(np.int64)))
+
+def prefix_size(size: Column, up: int, down: int) -> Column:
+    return (size - F.ceil(size * F.lit(up) / F.lit(down)) + 1).cast("int")
 
 
 def printed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -139,89 +78,77 @@ def printed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return documents.select(F.col(quoted(id_col)).alias("doc"), F.xxhash64(text).alias("print"), text.alias("text"))
 
 
-def described(documents: DataFrame, id_col: str, text_col: str, k: int, threshold: tuple[int, int], magnitude: np.ndarray, buckets: int) -> DataFrame:
-    """(doc, print, line, key, size, prefix) of every line that has words."""
-    up, down = threshold
+def described(documents: DataFrame, id_col: str, text_col: str, k: int, up: int, down: int) -> DataFrame:
+    """(doc, print, line, key, key2, size, prefix) of every line that has words."""
+    lines = printed(documents, id_col, text_col).select("doc", "print", F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line", "content"))
+    words = lines.where(F.trim("content") != "").select("doc", "print", "line", hashed(F.col("content")).alias("words"))
+    sets = words.select("doc", "print", "line", F.xxhash64("words").alias("key"), F.xxhash64(F.lit(1), "words").alias("key2"), tokens(F.col("words"), k).alias("tokens"))
+    size = F.size("tokens")
+    return sets.select("doc", "print", "line", "key", "key2", size.alias("size"), F.transform(F.slice("tokens", F.lit(1), prefix_size(size, up, down)), lambda t: F.shiftright(t, 2)).alias("prefix"))
+
+
+def token_sets(documents: DataFrame, id_col: str, text_col: str, places: DataFrame, k: int) -> DataFrame:
+    """(id, tokens) of the lines at ``places`` (id, doc, print, line), once each."""
+    wanted = places.groupBy(F.col("doc").alias("d"), F.col("print").alias("p")).agg(F.collect_list(F.struct("id", "line")).alias("at"))
+    there = printed(documents, id_col, text_col).join(wanted, F.col("doc").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")))
+    lines = there.select(F.split("text", "\n").alias("lines"), F.explode("at").alias("at")).select("at.id", F.get("lines", F.col("at.line")).alias("content"))
+    return lines.select("id", hashed(plain(F.col("content"))).alias("words")).select("id", tokens(F.col("words"), k).alias("tokens"))
+
+
+def kept_sets(scratch: Scratch, documents: DataFrame, id_col: str, text_col: str, places: DataFrame, k: int) -> DataFrame:
+    places = scratch.keep(places)
+    sets = scratch.keep(token_sets(documents, id_col, text_col, places, k))
+    if sets.count() > places.count():  # of repeated rows
+        sets = scratch.keep(sets.dropDuplicates(["id"]))
+    scratch.drop(places)
+    return sets
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, some in pieces(batches):
-            lines = Lines(some)
-            number, at = ranked(lines.words, lines.first, k, magnitude, buckets)
-            size = np.diff(at)
-            has = np.flatnonzero(size)
-            prefix = size[has] - -(-size[has] * up // down) + 1
-            text = pa.array(lines.text[has])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(text), part.column(1).take(text), pa.array(lines.number[has].astype(np.int32)), pa.array(lines.keys(has), pa.binary()), pa.array(size[has].astype(np.int32)), lists(number, at[:-1][has], prefix)],
-                ["doc", "print", "line", "key", "size", "prefix"],
-            )
-
-    return printed(documents, id_col, text_col).mapInArrow(run, f"doc {dict(documents.dtypes)[id_col]}, print long, line int, key binary, size int, prefix array<long>")
-
-
-def spots(print_: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """A hash of each line's place but for the id."""
-    return mix(print_.view(U64) + line.astype(U64) * U64(0x9E3779B97F4A7C15))
-
-
-def map_of(places: DataFrame, bits: int) -> np.ndarray:
-    """A bit map of the places by their hash, made on the executors in pages; the driver gets each page once."""
-    size = 1 << min(bits, PAGE_BITS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, bool)
-        for batch in batches:
-            table[(spots(batch.column(0).to_numpy(), batch.column(1).to_numpy()) & U64((1 << bits) - 1)).astype(np.int64)] = True
-        pages = table.reshape(-1, size)
-        some = np.flatnonzero(pages.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([np.packbits(pages[i]).tobytes() for i in some], pa.binary())], ["page", "bits"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for page, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found[page] = found.get(page, 0) | np.frombuffer(blob, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([b.tobytes() for b in found.values()], pa.binary())], ["page", "bits"])
-
-    table = np.zeros((1 << bits) // 8, np.uint8).reshape(-1, size // 8)
-    pages = places.select("print", "line").mapInArrow(run, "page int, bits binary").repartition("page").mapInArrow(join, "page int, bits binary")
-    for row in pages.toLocalIterator():  # 2**MAP_BITS bits at most
-        table[row["page"]] = np.frombuffer(row["bits"], np.uint8)
-    return table.ravel()
-
-
-def token_sets(documents: DataFrame, id_col: str, text_col: str, places: DataFrame, k: int, magnitude: np.ndarray, buckets: int) -> DataFrame:
-    """(id, tokens) of the lines at ``places`` (id, doc, print, line); as often as the line's row is repeated.
-
-    A bit map of the places, of bounded size, keeps most other lines from being sent.
+def frequent(prefix: DataFrame, scratch: Scratch, buckets: int) -> tuple[DataFrame | None, float]:
+    """The tokens that many prefixes have, if there are any, and how many lines count as many.
+
+    A token is counted by itself only where its bucket is full.
     """
-    bits = min(max(16, (64 * places.count()).bit_length()), MAP_BITS)
-    table = map_of(places, bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, some in pieces(batches):
-            lines = [(t or "").split("\n") for t in some]
-            count = np.fromiter(map(len, lines), np.int64, len(lines))
-            text = np.repeat(np.arange(len(lines)), count)
-            line = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-            at = (spots(part.column(1).to_numpy()[text], line) & U64((1 << bits) - 1)).astype(np.int64)
-            which = np.flatnonzero(table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
-            text, line = text[which], line[which]
-            batch = Batch([lines[i][j] for i, j in zip(text.tolist(), line.tolist(), strict=True)])  # no other line is hashed
-            number, at_line = ranked(batch.words(), batch.first, k, magnitude, buckets)
-            own = pa.array(text)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(line.astype(np.int32)), lists(number, at_line[:-1], np.diff(at_line))], ["doc", "print", "line", "tokens"])
-
-    return at_place(printed(documents, id_col, text_col).mapInArrow(run, f"doc {dict(documents.dtypes)[id_col]}, print long, line int, tokens array<long>"), places)
-
-
-def with_pivots(each: DataFrame, mean: float) -> DataFrame:
+    n = prefix.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    bits = min(buckets, max(10, (n >> 6).bit_length()))
+    limit = HOT * max(n / (1 << bits), LEAST)
+    bucket = F.col("token").bitwiseAND(F.lit((1 << bits) - 1)).alias("bucket")
+    each = prefix.select(F.explode("prefix").alias("token"))
+    full = scratch.keep(each.groupBy(bucket).count().where(F.col("count") > limit).select("bucket"))
+    if full.isEmpty():
+        return None, limit
+    found = scratch.keep(each.withColumn("bucket", bucket).join(full, "bucket").groupBy("token").count().where(F.col("count") > limit).select("token"))
+    return (None if found.isEmpty() else found), limit
+
+
+def frequent_last(prefix: DataFrame, folded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch: Scratch, buckets: int, up: int, down: int) -> DataFrame:
+    """The prefixes (id, size, prefix) for an order with frequent tokens last; these have ``LATE`` added."""
+    late, limit = frequent(prefix, scratch, buckets)
+    if late is None:
+        return prefix
+    having = lambda some: prefix.select("id", F.explode("prefix").alias("token")).join(some, "token").select("id").distinct()
+    each = lambda sets: sets.select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("t")).select("id", "size", F.shiftright("t", 2).alias("token"))
+    # lines that share such a token often share others, which would follow it into the prefix
+    known = scratch.keep(having(late))
+    sets = sets_of(folded.join(known, "id"))
+    more = each(sets).groupBy("token").count().where(F.col("count") > limit).select("token")
+    late = scratch.keep(late.unionByName(more).distinct())
+    changed = scratch.keep(having(late))
+    rest = sets_of(folded.join(changed, "id").join(known, "id", "left_anti"))
+    marked = each(sets.unionByName(rest)).join(late.withColumn("late", F.lit(LATE)), "token", "left")
+    order = marked.groupBy("id", "size").agg(F.sort_array(F.collect_list(F.col("token") + F.coalesce("late", F.lit(0)))).alias("all"))
+    new = order.select("id", "size", F.slice("all", F.lit(1), prefix_size(F.col("size"), up, down)).alias("prefix"))
+    out = scratch.keep(prefix.join(changed, "id", "left_anti").unionByName(new))
+    scratch.drop(prefix, known, changed, sets, rest)
+    return out
+
+
+def with_pivots(each: DataFrame) -> DataFrame:
     """(token, id, size, pos, other, osize, opos) of the rows (token, id, size, pos) whose token an earlier line has; ``other`` is the earliest."""
-    limit = int(HOT * max(mean, LEAST)).bit_length() + 1 << 47
     own = ["token", "id", "size", "pos"]
     w = Window.partitionBy("token").orderBy("id")
-    cold = each.where(F.col("token") < limit).select(*own, *[F.first(c).over(w).alias(o) for c, o in (("id", "other"), ("size", "osize"), ("pos", "opos"))])
-    hot = each.where(F.col("token") >= limit).select(*own)
+    cold = each.where(F.col("token") < FIRST_LATE).select(*own, *[F.first(c).over(w).alias(o) for c, o in (("id", "other"), ("size", "osize"), ("pos", "opos"))])
+    hot = each.where(F.col("token") >= FIRST_LATE).select(*own)
     pivot = hot.groupBy("token").agg(F.min("id").alias("other"), F.max("id").alias("last")).where("other <> last").select("token", "other")
     met = hot.join(pivot, "token")
     place = met.where("id = other").select("token", F.col("size").alias("osize"), F.col("pos").alias("opos")).dropDuplicates(["token"])
@@ -245,6 +172,15 @@ def others(member: DataFrame) -> DataFrame:
     return member.select("token", F.col("id").alias("other"), F.col("size").alias("osize"), F.col("pos").alias("opos"))
 
 
+def close(pairs: DataFrame, prefix: DataFrame, up: int, down: int) -> DataFrame:
+    """The ``pairs`` (id, other) that may be similar by their prefixes: what isn't in both lies beyond the prefix that ends first."""
+    one = prefix.select("id", F.col("size").alias("n"), F.col("prefix").alias("a"))
+    two = prefix.select(F.col("id").alias("other"), F.col("size").alias("m"), F.col("prefix").alias("b"))
+    rest = F.when(F.element_at("a", -1) <= F.element_at("b", -1), F.col("n") - F.size("a")).otherwise(F.col("m") - F.size("b"))
+    most = F.size(F.array_intersect("a", "b")) + rest
+    return pairs.join(one, "id").join(two, "other").where(most * (up + down) >= F.lit(up) * (F.col("n") + F.col("m"))).select("id", "other")
+
+
 def similar(pairs: DataFrame, sets: DataFrame, up: int, down: int) -> DataFrame:
     """The ids of ``pairs`` (id, other) whose token sets are similar."""
     one = sets.select("id", F.col("tokens").alias("a"))
@@ -260,49 +196,45 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     up, down = threshold
     scratch = Scratch(documents.sparkSession, "line-dedup")
-    texts = documents.select(F.col(quoted(text_col)).alias("text"))
-    magnitude, mean = bucket_counts(texts, shingle, buckets)
-    lines = scratch.keep(described(documents, id_col, text_col, shingle, threshold, magnitude, buckets))
+    sets_of = functools.partial(kept_sets, scratch, documents, id_col, text_col, k=shingle)
+    lines = scratch.keep(described(documents, id_col, text_col, shingle, up, down))
     place = F.struct("doc", "print", "line")
-    folded = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).orderBy("first")
-    folded = scratch.keep(folded.select(F.monotonically_increasing_id().alias("id"), "key", "first.*", "n"))  # fixed by being written
-
-    prefix = scratch.keep(at_place(lines.select("doc", "print", "line", "size", "prefix"), folded))  # a repeated row's lines stand more than once
-    keys = scratch.keep(lines.select("doc", "print", "line", "key"))
+    folded = lines.groupBy("key", "key2").agg(F.min(place).alias("first"), F.count("*").alias("n")).orderBy("first")
+    folded = scratch.keep(folded.select(F.monotonically_increasing_id().alias("id"), "key", "key2", "first.*", "n"))  # fixed by being written
+    prefix = scratch.keep(at_place(lines.select("doc", "print", "line", "size", "prefix"), folded))
+    if prefix.count() > folded.count():  # of repeated rows
+        prefix = scratch.keep(prefix.dropDuplicates(["id"]))
+    keys = scratch.keep(lines.select("doc", "print", "line", "key", "key2"))
     scratch.drop(lines)
-    rows = scratch.keep(with_pivots(prefix.select("id", "size", F.posexplode("prefix").alias("pos", "token")), mean))
-    scratch.drop(prefix)
+    prefix = frequent_last(prefix, folded.select("id", "doc", "print", "line"), sets_of, scratch, buckets, up, down)
+    rows = scratch.keep(with_pivots(prefix.select("id", "size", F.posexplode("prefix").alias("pos", "token"))))
     # lines of pairs that can match, and lines of tokens that two lines beside the earliest have: one pass for both steps
-    pairs = rows.where(meets(up, down)).select("id", "other")
+    pairs = scratch.keep(close(rows.where(meets(up, down)).select("id", "other").distinct(), prefix, up, down))
     crowded = rows.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("token")
     wanted = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).unionByName(rows.join(crowded, "token").select("id")).distinct()
-    places = scratch.keep(folded.select("id", "doc", "print", "line").join(wanted, "id"))
-    sets = scratch.keep(token_sets(documents, id_col, text_col, places, shingle, magnitude, buckets))
-    if sets.count() > places.count():  # of repeated rows
-        sets = scratch.keep(sets.dropDuplicates(["id"]))
-    scratch.drop(places)
+    sets = sets_of(folded.select("id", "doc", "print", "line").join(wanted, "id"))
 
     member = rows.select("token", "id", "size", "pos").distinct()
-    settled, left = [scratch.keep(similar(pairs.distinct(), sets, up, down))], member
+    settled, left = [scratch.keep(similar(pairs, sets, up, down))], member
     for _ in range(rounds - 1):  # a pivot isn't settled: it goes on to the last step as the later line, but is a pivot once
         left = left.join(settled[-1], "id", "left_anti")
         pivot = left.groupBy("token").agg(F.min("id").alias("other"))
         pairs = left.join(pivot.join(others(left), ["token", "other"]), "token").where("id <> other").where(meets(up, down))
-        settled.append(scratch.keep(similar(pairs.select("id", "other").distinct(), sets, up, down)))
+        settled.append(scratch.keep(similar(close(pairs.select("id", "other").distinct(), prefix, up, down), sets, up, down)))
         left = scratch.keep(left.join(pivot.withColumnRenamed("other", "id"), ["token", "id"], "left_anti"))
     near = functools.reduce(DataFrame.unionByName, settled).distinct()
     # what no pivot settled meets every other earlier line of its tokens
     late = member.join(near, "id", "left_anti")
     scratch.drop()
     pairs = late.join(others(member), "token").where("id > other").where(meets(up, down)).select("id", "other").distinct()
-    settled.append(scratch.keep(similar(pairs, sets, up, down)))
-    scratch.drop(rows, sets, left)
+    settled.append(scratch.keep(similar(close(pairs, prefix, up, down), sets, up, down)))
+    scratch.drop(prefix, rows, sets, left)
     done = functools.reduce(DataFrame.unionByName, settled).distinct()
 
     # all places of a settled line go, and of other lines all but the first
     gone = folded.join(done.withColumn("settled", F.lit(True)), "id", "left").where("n > 1 or settled")
-    gone = gone.select("key", F.struct("doc", "print", "line").alias("first"), F.coalesce("settled", F.lit(False)).alias("settled"))
-    out = keys.join(gone, "key").where(F.col("settled") | (place != F.col("first")))
+    gone = gone.select("key", "key2", F.struct("doc", "print", "line").alias("first"), F.coalesce("settled", F.lit(False)).alias("settled"))
+    out = keys.join(gone, ["key", "key2"]).where(F.col("settled") | (place != F.col("first")))
     out = scratch.keep(out.groupBy("doc", "print").agg(F.collect_set("line").alias("gone")))
     scratch.drop(folded, keys, *settled)
     return without(documents, out, id_col, text_col)

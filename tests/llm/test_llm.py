@@ -512,6 +512,33 @@ def test_line_dedup_of_passages_that_few_lines_share(spark, monkeypatch):
     assert sum(r["n_removed"] for r in got) == 0 and sum(seen) < 100
 
 
+def test_line_dedup_runs_no_python_on_executors(spark, monkeypatch):
+    def never(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas", "rdd"):
+        monkeypatch.setattr(type(spark.range(1)), name, property(never) if name == "rdd" else never)
+    got = line_dedup.dedup_lines(docs(spark, ["a b c d e f\nA b, c d e f", "z\na B c d e f", None]))
+    assert [(r["text"], r["n_removed"]) for r in sorted(got.collect())] == [("a b c d e f", 1), ("z", 1), (None, 0)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_line_dedup_puts_frequent_tokens_last(spark, monkeypatch):
+    """600 lines with the same 30 words in their midst: no token of these is in a prefix, so no pair is compared."""
+    rng = np.random.default_rng(6)
+    word = rng.choice([f"w{i}" for i in range(50_000)], (600, 90))
+    word[:, 30:60] = word[0, 30:60]
+    lines = [" ".join(w) for w in word]
+    lines += [lines[7] + " more", "other " + lines[300]]  # near copies among them
+    texts = ["\n".join(lines[i : i + 50]) for i in range(0, len(lines), 50)]
+    seen, plain = [], line_dedup.close
+    monkeypatch.setattr(line_dedup, "close", lambda pairs, *rest: seen.append(pairs.count()) or plain(pairs, *rest))
+    got = line_dedup.dedup_lines(docs(spark, texts)).collect()
+    assert sum(r["n_removed"] for r in got) == 2 and sum(seen) < 10
+    assert next(r for r in got if r["doc_id"] == 12)["n_removed"] == 2
+
+
 # --- search ---
 
 
