@@ -208,27 +208,30 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scratch.drop(lines)
     prefix = frequent_last(prefix, folded.select("id", "doc", "print", "line"), sets_of, scratch, buckets, up, down)
     rows = scratch.keep(with_pivots(prefix.select("id", "size", F.posexplode("prefix").alias("pos", "token"))))
-    # lines of pairs that can match, and lines of tokens that two lines beside the earliest have: one pass for both steps
-    pairs = scratch.keep(close(rows.where(meets(up, down)).select("id", "other").distinct(), prefix, up, down))
-    crowded = rows.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("token")
-    wanted = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).unionByName(rows.join(crowded, "token").select("id")).distinct()
-    sets = sets_of(folded.select("id", "doc", "print", "line").join(wanted, "id"))
+
+    def settle(pairs: DataFrame) -> DataFrame:
+        """The ids of ``pairs`` that go; only lines of pairs that can match by their prefixes get their full sets."""
+        pairs = scratch.keep(close(pairs.select("id", "other").distinct(), prefix, up, down))
+        wanted = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
+        sets = sets_of(folded.select("id", "doc", "print", "line").join(wanted, "id"))
+        out = scratch.keep(similar(pairs, sets, up, down))
+        scratch.drop(pairs, sets)
+        return out
 
     member = rows.select("token", "id", "size", "pos").distinct()
-    settled, left = [scratch.keep(similar(pairs, sets, up, down))], member
+    settled, left = [settle(rows.where(meets(up, down)))], member
     for _ in range(rounds - 1):  # a pivot isn't settled: it goes on to the last step as the later line, but is a pivot once
         left = left.join(settled[-1], "id", "left_anti")
         pivot = left.groupBy("token").agg(F.min("id").alias("other"))
         pairs = left.join(pivot.join(others(left), ["token", "other"]), "token").where("id <> other").where(meets(up, down))
-        settled.append(scratch.keep(similar(close(pairs.select("id", "other").distinct(), prefix, up, down), sets, up, down)))
+        settled.append(settle(pairs))
         left = scratch.keep(left.join(pivot.withColumnRenamed("other", "id"), ["token", "id"], "left_anti"))
     near = functools.reduce(DataFrame.unionByName, settled).distinct()
     # what no pivot settled meets every other earlier line of its tokens
     late = member.join(near, "id", "left_anti")
     scratch.drop()
-    pairs = late.join(others(member), "token").where("id > other").where(meets(up, down)).select("id", "other").distinct()
-    settled.append(scratch.keep(similar(close(pairs, prefix, up, down), sets, up, down)))
-    scratch.drop(prefix, rows, sets, left)
+    settled.append(settle(late.join(others(member), "token").where("id > other").where(meets(up, down))))
+    scratch.drop(prefix, rows, left)
     done = functools.reduce(DataFrame.unionByName, settled).distinct()
 
     # all places of a settled line go, and of other lines all but the first
